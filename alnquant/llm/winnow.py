@@ -12,6 +12,7 @@ and a larger benchmark means more blocks, not a larger one.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) ->
     for i in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
         rows = part.collect()  # at most about block_bytes, by the count above
-        load.append(spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows])))
+        load.append((uuid.uuid4().hex, spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))))
 
     def judge(batches):
         for b in C.pieces(batches):
@@ -146,12 +147,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) ->
             n = b.num_rows
             hit = np.zeros(len(h) + 1, np.int64)
             found: dict[int, set[str]] = {}
-            for blk in load:
-                ix = _INDEX.get(blk.id)
+            for key, blk in load:
+                ix = _INDEX.get(key)
                 if ix is None:
                     while len(_INDEX) > 1:
                         _INDEX.pop(next(iter(_INDEX)))
-                    ix = _INDEX.setdefault(blk.id, Index(*blk.value))
+                    ix = _INDEX.setdefault(key, Index(*blk.value))
                 row, a, e, item = ix.hits(h, first)
                 np.add.at(hit, a, 1)
                 np.add.at(hit, e, -1)
