@@ -135,10 +135,16 @@ ALNUM_WORD[0x80:] = True
 
 def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool = True):
     """(start, end, hash) of every word, and the offsets of each row's first word.  A word never crosses rows."""
+    s, e, first = spans(buf, offs, table)
+    return s, e, span_hash(buf, s, e, lower), first
+
+
+def spans(buf: np.ndarray, offs: np.ndarray, table: np.ndarray):
+    """(start, end) of every word, and the offsets of each row's first word."""
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, U64), np.zeros(len(offs), np.int64)
+        return z, z, np.zeros(len(offs), np.int64)
     m = table[buf]
     cuts = offs[(offs > 0) & (offs < n)]
     prev = np.empty(n, bool)
@@ -148,11 +154,15 @@ def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, lower: bool = Tr
     nxt[-1], nxt[:-1] = False, m[1:]
     nxt[cuts - 1] = False
     s, e = np.flatnonzero(m & ~prev), np.flatnonzero(m & ~nxt) + 1
-    pw, inv = powers(n + 1)
-    c = np.zeros(n + 1, U64)
-    np.cumsum((_BYTE[LOWER] if lower else _BYTE)[buf] * pw[:n], out=c[1:])
-    h = mix((c[e] - c[s]) * inv[s] + (e - s).astype(U64))
-    return s, e, h, np.searchsorted(s, offs)
+    return s, e, np.searchsorted(s, offs)
+
+
+def span_hash(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    pw, inv = powers(len(buf) + 1)
+    c = np.zeros(len(buf) + 1, U64)
+    np.cumsum((_BYTE[LOWER] if lower else _BYTE)[buf] * pw[: len(buf)], out=c[1:])
+    return mix((c[e] - c[s]) * inv[s] + (e - s).astype(U64))
 
 
 _GRAM = _rng.integers(0, 1 << 63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -178,3 +188,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     if have < w:
         out = np.minimum(out[: len(x) - w + 1], out[w - have : w - have + len(x) - w + 1])
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now rather than at some later garbage collection."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
