@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: module name -> query names that it registers
-MODULES = ("q_suffix_dedup", "q_url_filter", "q_quality_rules", "q_token_ids", "q_quality", "q_html", "q_sentencepiece", "q_jaccard", "q_decontamination")
+MODULES = ("q_suffix_dedup", "q_chat", "q_url_filter", "q_quality_rules", "q_token_ids", "q_quality", "q_html", "q_sentencepiece", "q_jaccard", "q_decontamination")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
