@@ -23,6 +23,7 @@ BLOCK = 128
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60], np.int64)
 _PACKING = range(1, 15)  # selector 15 is spare
+_NARROW = np.searchsorted(2 ** WIDTHS[1:15], np.arange(1 << 17), "right").astype(np.uint8)  # widths that are too narrow for an id
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,12 +33,15 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     nb = -(-n // BLOCK)
     if not n:
         return np.zeros(0, U64), np.zeros(1, np.uint32)
-    bits = np.zeros(nb * BLOCK, np.uint8)
-    bits[n:] = 255
-    for w in WIDTHS[1:15]:  # the narrowest width that holds each id
-        bits[:n] += (ids >> U64(w) > 0).astype(np.uint8)
+    bits = np.full(nb * BLOCK, 255, np.uint8)
+    if ids.max() < len(_NARROW):
+        bits[:n] = _NARROW[ids]
+    else:
+        bits[:n] = 0
+        for w in WIDTHS[1:15]:
+            bits[:n] += ids >> U64(w) > 0
     # bits now counts the packing widths that are too narrow; 14 means none fits
-    best = np.zeros(nb * BLOCK, np.uint8)
+    best = np.zeros((nb, BLOCK), np.uint8)
     runs = {1: bits}
     for s in reversed(_PACKING):
         k = int(COUNTS[s])
@@ -51,9 +55,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             top = np.maximum(top, shifted)
             have += step
         runs[k] = top
-        fits = top <= s - 1
-        pos = np.arange(nb * BLOCK) % BLOCK + k <= BLOCK
-        best[fits & pos] = s
+        room = BLOCK - k + 1  # a word holds ids of one block
+        best[:, :room][(top <= s - 1).reshape(nb, BLOCK)[:, :room]] = s
+    best = best.ravel()
     at = np.zeros(nb, np.int64)
     base = np.arange(nb) * BLOCK
     size = np.minimum(BLOCK, n - base)
@@ -139,11 +143,6 @@ def unpack_file(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- tokenising
 
 
-def _plain(t: str) -> bool:
-    """Words with one space or line feed between them, and nothing else that is white space in any reading."""
-    return " ".join(t.split()) == t.replace("\n", " ") and "<|" not in t
-
-
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -151,85 +150,135 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _odd_rows(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows with any white space but single spaces and line feeds between words, or with text like an added token."""
+    n = len(buf)
+    bad = np.isin(buf, np.array([9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F], np.uint8))
+    sep = (buf == 32) | (buf == 10)
+    bad[1:] |= sep[1:] & sep[:-1]
+    bad[:-1] |= (buf[:-1] == ord("<")) & (buf[1:] == ord("|"))
+    ends = offs[1:][np.diff(offs) > 0]
+    starts = offs[:-1][np.diff(offs) > 0]
+    bad[starts] |= sep[starts]
+    bad[ends - 1] |= sep[ends - 1]
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):  # white space beyond ASCII
+        at = np.flatnonzero(buf == lead)
+        b1, b2 = buf[np.minimum(at + 1, n - 1)], buf[np.minimum(at + 2, n - 1)]
+        if lead == 0xC2:
+            hit = (b1 == 0x85) | (b1 == 0xA0)
+        elif lead == 0xE2:
+            hit = (b1 == 0x80) & ((b2 <= 0x8A) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF)) | (b1 == 0x81) & (b2 == 0x9F)
+        else:
+            hit = (b1 == (0x9A if lead == 0xE1 else 0x80)) & (b2 == 0x80)
+        bad[at[hit]] = True
+    at = np.searchsorted(np.flatnonzero(bad), offs)
+    return at[1:] > at[:-1]
+
+
+_UNIT = np.ones(256, bool)
+_UNIT[[10, 32]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+
+
 class Encoder:
-    """The library's ids of a text as little-endian u32 bytes.
+    """The library's ids of whole texts.
 
-    In this pre-tokeniser a single space or line feed between other characters always starts a new pre-token, so a text
-    is the concatenation of pieces that begin there; each distinct piece is given to the library once and kept.
-    Texts with any other white space, or with text that looks like an added token, go to the library whole.
+    In this pre-tokeniser a single space or line feed between other characters always starts a new pre-token, so a text is
+    the concatenation of words that begin there; each distinct word is given to the library once and kept.  Rows with any
+    other white space, or with text that looks like an added token, go to the library whole.
     """
 
-    LIMIT = 1_200_000
+    LIMIT = 1_500_000
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
-        self.kept: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
+        self.kept: dict[bytes, bytes] = {}
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        if len(feed) != 1:
+            raise ValueError("this tokenizer does not code a line feed as one id")
+        self.feed = feed[0]
+        self.marks = np.zeros(256, np.int64)  # id of a last comma or full stop, a pre-token of its own after a letter
+        for m in ",.":
+            (self.marks[ord(m)],) = self.tok.encode(m, add_special_tokens=False).ids
+        vocab = self.tok.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
+        self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def batch(self, texts: list[str], end: int) -> list[bytes]:
-        kept, tail = self.kept, np.array([end], "<u4").tobytes()
+    def _learn(self, new: list[bytes]) -> None:
+        """A word is kept with its space, if any."""
+        kept = self.kept
+        spaced = [x for x in new if x[0] == 32]
+        bare = [x for x in new if x[0] != 32]
+        for lo in range(0, len(spaced), 512):
+            some = spaced[lo : lo + 512]
+            ids = np.array(self.tok.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(some):  # each word has one id that begins with a space, its first
+                for x, i, j in zip(some, at.tolist(), [*at[1:].tolist(), len(ids)]):
+                    kept[x] = ids[i:j].tobytes()
+            else:
+                bare += some
+        for x, ids in zip(bare, self._each([x.decode() for x in bare]) if bare else []):
+            kept[x] = ids
+
+    def batch(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, each with the end id after it, and how many each row has."""
+        buf, offs = C.text_buffer(col)
+        rows = len(offs) - 1
+        odd = _odd_rows(buf, offs) if len(buf) else np.zeros(rows, bool)
+        s, e, first = C.spans(buf, offs, _UNIT)
+        row = np.repeat(np.arange(rows), np.diff(first))
+        own = np.zeros(len(s), bool)
+        own[first[:-1][np.diff(first) > 0]] = True
+        before = np.where(own, 0, buf[s - 1]) if len(s) else np.zeros(0, np.uint8)
+        space, feed = before == 32, before == 10
+        use = ~odd[row]
+        s, e, row, space, feed = s[use], e[use], row[use], space[use], feed[use]
+        last = buf[e - 1]
+        b1, b2 = buf[np.maximum(e - 2, 0)], buf[np.maximum(e - 3, 0)]
+        letter = _LETTER[b1] | (b2 == 0xC3) & (b1 >= 0x80) & (b1 != 0x97) & (b1 != 0xB7)  # of ASCII and Latin-1
+        mark = ((last == 44) | (last == 46)) & letter & (e - s > np.where(b1 >= 0x80, 2, 1))
+        e = e - mark
+        h = C.span_hash(buf, s, e, lower=False) ^ C.mix(space.astype(np.uint64))
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        data, kept = buf.tobytes(), self.kept
         if len(kept) > self.LIMIT:
             kept.clear()
-        split, odd = [], []
-        for i, t in enumerate(texts):
-            if not t:
-                split.append([])
-            elif not _plain(t):
-                split.append(None)
-                odd.append(i)
-            else:
-                head, *rest = t.replace("\n", " \n").split(" ")
-                split.append([head, *rest])
-        missing: set[str] = set()
-        for i, s in enumerate(split):
-            if not s:
-                continue
-            # the first piece has no space before it; a line feed stands alone and the word after it has no space
-            s[0] = "\n" + s[0]
-            missing |= set(s).difference(kept)
+        names = [data[i:j] for i, j in zip((s[at] - space[at]).tolist(), e[at].tolist())]
+        missing = [x for x in names if x not in kept]
         if missing:
-            self._learn(list(missing))
-        out = [b"".join([*map(kept.__getitem__, s), tail]) if s else tail for s in split]
-        for i, s in enumerate(split):
-            if s:
-                out[i] = out[i][4:]  # the line feed that was put before the first piece
-        for i, b in zip(odd, self._whole([texts[i] for i in odd]) if odd else []):
-            out[i] = b + tail
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Split off a last comma or full stop after a letter: it is a pre-token of its own."""
-        kept, asks, ends = self.kept, {}, []
-        for x in new:
-            stem = x[:-1] if len(x) > 2 and x[-1] in ".," and x[-2].isalpha() else x
-            if stem is not x:
-                ends.append(x)
-            if stem not in kept:
-                asks[stem] = None
-        for mark in ".,":
-            if mark not in self._marks:
-                self._marks[mark] = self._whole([mark])[0]
-        feed = self._feed or self._set_feed()
-        stems = list(asks)
-        got = self._whole([s[1:] if s[0] == "\n" and len(s) > 1 else s if s[0] == "\n" else " " + s for s in stems])
-        for s, b in zip(stems, got):
-            kept[s] = feed + b if s[0] == "\n" and len(s) > 1 else b
-        for x in ends:
-            kept[x] = kept[x[:-1]] + self._marks[x[-1]]
-
-    _feed = b""
-
-    @functools.cached_property
-    def _marks(self) -> dict[str, bytes]:
-        return {}
-
-    def _set_feed(self) -> bytes:
-        self._feed = self._whole(["\n"])[0]
-        if len(self._feed) != 4:
-            raise ValueError("this tokenizer does not code a line feed as one id")
-        return self._feed
+            self._learn(missing)
+        ids = [kept[x] for x in names]
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        start = np.cumsum(size) - size
+        whole = np.flatnonzero(odd)
+        more = self._each(col.take(pa.array(whole)).to_pylist()) if len(whole) else []
+        extra = np.array([len(x) // 4 for x in more], np.int64)
+        # a line feed id stands before the ids of the word after it, a mark's after them, the end id after the row's last
+        lens = size[which]
+        per_row = np.bincount(row, weights=lens + feed + mark, minlength=rows).astype(np.int64)
+        per_row[whole] = extra
+        per_row += 1
+        row_end = np.cumsum(per_row)
+        out = np.empty(int(row_end[-1]) if rows else 0, "<u4")
+        out[row_end - 1] = end
+        if len(s):
+            took = np.cumsum(lens + feed + mark)
+            before_row = np.concatenate([[0], took])[np.searchsorted(row, row)]
+            to = (row_end - per_row)[row] + took - lens - mark - before_row
+            out[(to - 1)[feed]] = self.feed
+            out[(to + lens)[mark]] = self.marks[last[mark]]
+            ends = np.cumsum(lens)
+            step = np.arange(int(ends[-1])) - np.repeat(ends - lens, lens)
+            out[np.repeat(to, lens) + step] = flat[np.repeat(start[which], lens) + step]
+        for r, x in zip(whole.tolist(), more):
+            out[row_end[r] - per_row[r] : row_end[r] - 1] = np.frombuffer(x, "<u4")
+        return out, per_row
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -265,27 +314,29 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_file: in
 
         z, part, seq, before = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0, 0
         enc = _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
-        doc, blob, have = [], [], 0
+        doc, blob, size, have = [], [], [], 0
 
         def flush():
-            lens = np.array([len(b) // 4 for b in blob], np.int64)
-            ids = np.frombuffer(b"".join(blob), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([pack_file(np.array(doc, np.int64), lens, ids)], pa.binary())], ["part", "seq", "before", "n_ids", "image"]), len(ids)
-
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                s = b.slice(lo, 256)
-                ts = [z.decompress(v, max_output_size=1 << 31).decode() if v else "" for v in s.column(1).to_pylist()]
-                for d, ids in zip(s.column(0).to_pylist(), enc.batch(ts, end_id)):
-                    doc.append(d)
-                    blob.append(ids)
-                    have += len(ids) // 4
-                    if have >= ids_per_file:
-                        row, k = flush()
-                        yield row
-                        seq, before, have = seq + 1, before + k, 0
-                        doc.clear()
-                        blob.clear()
+            ids = np.concatenate(blob)
+            image = pack_file(np.concatenate(doc), np.concatenate(size), ids)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], ["part", "seq", "before", "n_ids", "image"]), len(ids)
+
+        def opened():
+            for b in C.pieces(batches, "z", 3 << 20):
+                texts = pa.array([z.decompress(v, max_output_size=1 << 31) if v else b"" for v in b.column(1).to_pylist()], pa.large_binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), texts.cast(pa.large_string())], ["doc_id", "text"])
+
+        for b in C.pieces(opened(), "text", 8 << 20):
+            ids, lens = enc.batch(b.column(1), end_id)
+            doc.append(b.column(0).to_numpy())
+            blob.append(ids)
+            size.append(lens)
+            have += len(ids)
+            if have >= ids_per_file:
+                row, k = flush()
+                yield row
+                seq, before, have = seq + 1, before + k, 0
+                doc, blob, size = [], [], []
         if doc:
             yield flush()[0]
 
