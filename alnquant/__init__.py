@@ -1,0 +1 @@
+"""Feature quantification of sequencing alignments on Spark DataFrames."""
