@@ -24,7 +24,7 @@ def convert(spark: SparkSession, path: str, out: str) -> DataFrame:
     raw = spark.read.parquet(f"{out}/raw")
     keys = ["seqid", "featureid", "start_pos", "end_pos", "strand"]
     part = raw.select(*keys, F.explode(F.split("annotation", ";")).alias("p")).where("p <> ''")
-    codes = part.select(*keys, F.substring_index("p", "=", 1).cast("int").alias("cid"), F.explode(F.split(F.substring_index("p", "=", -1), ",")).cast("int").alias("fid"))
+    codes = part.select(*keys, F.substring_index("p", "=", 1).cast("int").alias("cid"), F.explode(F.split(F.substring_index("p", "=", -1), ",").cast("array<int>")).alias("fid"))
     long = codes.join(cats, "cid").join(feats, "fid").groupBy(*keys, "category").agg(F.array_sort(F.collect_set("feature")).alias("features"))
     long.write.mode("overwrite").parquet(f"{out}/annotations")
     return spark.read.parquet(f"{out}/annotations")
