@@ -25,7 +25,7 @@ ORDER = 3
 BACKOFF = 2.0  # weight of the shorter context, in observations
 ALPHABET = 256.0  # characters that the shortest context spreads its weight over
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SMALL = 1 << 18  # grams that are broadcast at most: a few MB
+SMALL = 16 << 20  # bytes of grams or scored URLs that are broadcast at most
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -72,7 +72,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         p["allow"] = (F.col(f"a{k}") + BACKOFF * p["allow"]) / (F.col(f"ca{k}") + BACKOFF)
         p["block"] = (F.col(f"b{k}") + BACKOFF * p["block"]) / (F.col(f"cb{k}") + BACKOFF)
     model = C.save(model.select("g", (F.log(p["allow"]) - F.log(p["block"])).alias("s")), "op3-model")
-    few = model.count() <= SMALL
+    few = model.agg(F.coalesce(F.sum(F.octet_length("g") + 16), F.lit(0))).first()[0] <= SMALL
     places = urls.select("key", gram.alias("g"))
     scored = places.join(F.broadcast(model) if few else model, "g").groupBy("key").agg(F.avg("s").alias("score"))
     scored = C.save(urls.join(scored, "key", "left").select("host", "path", "n", "action", F.when((F.col("host") == "") & (F.col("path") == ""), F.lit(0.0)).otherwise(F.col("score")).alias("score")), "op3-scores")
@@ -84,7 +84,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         model_verdict = F.when(F.col("score") >= limit, "allow").otherwise("block")
     else:
         model_verdict = F.lit("allow")
-    few = scored.count() <= SMALL
+    few = scored.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 24), F.lit(0))).first()[0] <= SMALL
     by_url = scored.select("host", "path", "score")
     out = d.join(F.broadcast(by_url) if few else by_url, ["host", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", model_verdict).alias("verdict"), "score")
