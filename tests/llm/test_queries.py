@@ -31,3 +31,19 @@ def test_pipeline(spark, sf):
     assert {d for d in one if cut[d] == 0} - dirty == {d for d in final if cut[d] == 0}
     for d, r in final.items():
         assert r["round_trip"] and (cut[d] or r["decoded"] == (texts[d] or "")) and r["n_ids"] == len(r["ids"])
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    cols = sorted(got.columns)
+    cur = con.execute(queries.ORACLE[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == cols
+    want = sorted(tuple(str(r[names.index(c)]) for c in cols) for r in cur.fetchall())
+    assert sorted(tuple(str(r[c]) for c in cols) for r in got.collect()) == want
