@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -37,6 +38,18 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """While tables of large rows are made: so many rows at most go to Python at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables made by :func:`save` that no later step reads."""
     for df in frames:
@@ -196,3 +209,10 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def rows_of(batches):
+    """Rows of record batches as dictionaries, one at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]

@@ -27,7 +27,8 @@ from .induce import suffix_array
 
 U64 = np.uint64
 K = 20
-SHARD = 1 << 21  # bytes of segments that are sorted together; a minimizer with more has a shard of its own
+SHARD = 1 << 18  # bytes of segments that are sorted together; a minimizer with more has a shard of its own
+BLOCK = 1 << 20  # bytes of text in a block (one longer document is a block of its own)
 NEVER = np.iinfo(np.int64).min
 
 
@@ -68,7 +69,7 @@ class Segments:
         i = np.flatnonzero(new)
         self.first = p[i]
         self.last = p[np.append(i[1:], len(p)) - 1]  # the last string's start
-        self.hash = g[m[i]]
+        self.hash = C.mix(g[m[i]] ^ U64(0x5851F42D4C957F2D))  # least hashes lie low; mixed anew they fill all parts alike
         self.doc = doc[self.first]
 
     def keep(self, which: np.ndarray) -> None:
@@ -148,7 +149,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, text_out: bool = False) -> D
         from pyspark import TaskContext
 
         z, part, seq = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
-        for b in C.pieces(batches):
+        for b in C.pieces(batches, size=BLOCK):
             buf, offs = C.text_buffer(b.column(1))
             ids = b.column(0).cast(pa.int64()).fill_null(NEVER)
             rest = b.column(2).to_pylist() if other else []
@@ -157,24 +158,23 @@ def remove_repeats(docs: DataFrame, span: int = 50, text_out: bool = False) -> D
 
     blocks = C.save(packed.mapInArrow(block, "gid long, docs binary, offs binary, text binary, rest array<string>"), "op1-blocks")
     total = blocks.agg(F.coalesce(F.sum(F.expr("length(docs) + length(offs) + length(text)")), F.lit(0))).first()[0]
-    parts = C.parts_for(3 * total, spark)
+    parts = C.parts_for(3 * total, spark, 3 << 20)
 
     def ask(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                buf, offs, docs_ = _unblock(row)
-                s = Segments(buf, offs, span)
-                s.keep(docs_[s.doc] != NEVER)
-                # a hash counts as several if two doc_ids of the block have it
-                o = np.lexsort((docs_[s.doc], s.hash))
-                h, d = s.hash[o], docs_[s.doc][o]
-                if not len(h):
-                    continue
-                i = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                j = np.append(i[1:], len(h)) - 1
-                several, h = d[i] != d[j], h[i]
-                runs = _by_part(h, parts)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([row["gid"]] * len(runs)), pa.array([h[x:y].tobytes() for _, x, y in runs], pa.binary()), pa.array([np.packbits(several[x:y]).tobytes() for _, x, y in runs], pa.binary())], ["part", "gid", "hashes", "several"])
+        for row in C.rows_of(batches):
+            buf, offs, docs_ = _unblock(row)
+            s = Segments(buf, offs, span)
+            s.keep(docs_[s.doc] != NEVER)
+            # a hash counts as several if two doc_ids of the block have it
+            o = np.lexsort((docs_[s.doc], s.hash))
+            h, d = s.hash[o], docs_[s.doc][o]
+            if not len(h):
+                continue
+            i = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            j = np.append(i[1:], len(h)) - 1
+            several, h = d[i] != d[j], h[i]
+            runs = _by_part(h, parts)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([row["gid"]] * len(runs)), pa.array([h[x:y].tobytes() for _, x, y in runs], pa.binary()), pa.array([np.packbits(several[x:y]).tobytes() for _, x, y in runs], pa.binary())], ["part", "gid", "hashes", "several"])
 
     def answer(t: pa.Table) -> pa.Table:
         h = [np.frombuffer(x, U64) for x in t.column("hashes").to_pylist()]
@@ -192,7 +192,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, text_out: bool = False) -> D
         return pa.table({"gid": t.column("gid"), "part": t.column("part"), "kind": pa.array([0] * len(n), pa.int32()), "bits": pa.array([np.packbits(bits[x:y]).tobytes() for x, y in zip(cut, cut[1:])], pa.binary())})
 
     note = "gid long, part int, kind int, bits binary"
-    masks = C.save(blocks.select("gid", "docs", "offs", "text").mapInArrow(ask, "part int, gid long, hashes binary, several binary").groupBy("part").applyInArrow(answer, note), "op1-masks")
+    with C.batches_of(spark, 4):
+        masks = C.save(blocks.select("gid", "docs", "offs", "text").mapInArrow(ask, "part int, gid long, hashes binary, several binary").groupBy("part").applyInArrow(answer, note), "op1-masks")
     C.release(spark)
 
     def marked(row: dict, notes: dict) -> tuple[Segments, np.ndarray]:
@@ -211,17 +212,16 @@ def remove_repeats(docs: DataFrame, span: int = 50, text_out: bool = False) -> D
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for row in b.to_pylist():
-                s, docs_ = marked(row, {x["part"]: x["bits"] for x in row["notes"] or ()})
-                o, i = s.distinct()
-                if not len(i):
-                    continue
-                least = np.minimum.reduceat(docs_[s.doc][o], i)
-                one = o[i]
-                h, a, e = s.hash[one], s.first[one], s.last[one] + span
-                runs = _by_part(h, parts)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([row["gid"]] * len(runs)), pa.array([h[x:y].tobytes() for _, x, y in runs], pa.binary()), pa.array([(e - a)[x:y].astype(np.uint32).tobytes() for _, x, y in runs], pa.binary()), pa.array([least[x:y].tobytes() for _, x, y in runs], pa.binary()), pa.array([z.compress(_gather(s.buf, a[x:y], e[x:y]).tobytes()) for _, x, y in runs], pa.binary())], ["part", "gid", "hashes", "sizes", "least", "text"])
+        for row in C.rows_of(batches):
+            s, docs_ = marked(row, {x["part"]: x["bits"] for x in row["notes"] or ()})
+            o, i = s.distinct()
+            if not len(i):
+                continue
+            least = np.minimum.reduceat(docs_[s.doc][o], i)
+            one = o[i]
+            h, a, e = s.hash[one], s.first[one], s.last[one] + span
+            runs = _by_part(h, parts)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([row["gid"]] * len(runs)), pa.array([h[x:y].tobytes() for _, x, y in runs], pa.binary()), pa.array([(e - a)[x:y].astype(np.uint32).tobytes() for _, x, y in runs], pa.binary()), pa.array([least[x:y].tobytes() for _, x, y in runs], pa.binary()), pa.array([z.compress(_gather(s.buf, a[x:y], e[x:y]).tobytes()) for _, x, y in runs], pa.binary())], ["part", "gid", "hashes", "sizes", "least", "text"])
 
     def sort_shards(t: pa.Table) -> pa.Table:
         import zstandard
@@ -232,10 +232,14 @@ def remove_repeats(docs: DataFrame, span: int = 50, text_out: bool = False) -> D
         every = np.concatenate(h)
         size = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("sizes").to_pylist()]).astype(np.int64)
         mine = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("least").to_pylist()])
-        text = np.frombuffer(b"".join(z.decompress(x, max_output_size=1 << 31) for x in t.column("text").to_pylist()), np.uint8)
+        texts = [np.frombuffer(z.decompress(x.as_py(), max_output_size=1 << 31), np.uint8) for x in t.column("text")]
+        cut, same = np.concatenate([[0], np.cumsum(n)]), []
+        for x, i, j in zip(texts, cut, cut[1:]):
+            e = np.cumsum(size[i:j])
+            same.append(C.span_hash(x, e - size[i:j], e, lower=False))
+        text, same = np.concatenate(texts), np.concatenate(same)
         end = np.cumsum(size)
         start = end - size
-        same = C.span_hash(text, start, end, lower=False)
         o = np.lexsort((same, every))
         a, b = every[o], same[o]
         i = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -261,57 +265,58 @@ def remove_repeats(docs: DataFrame, span: int = 50, text_out: bool = False) -> D
         at = np.repeat(string[which], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
         before = (seen[at] < np.repeat(mine, m)).astype(U64) << (np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)).astype(U64)
         word = np.add.reduceat(before, np.cumsum(m) - m)
-        cut = np.concatenate([[0], np.cumsum(n)])
         return pa.table({"gid": t.column("gid"), "part": t.column("part"), "kind": pa.array([1] * len(n), pa.int32()), "bits": pa.array([word[x:y].astype("<u4").tobytes() for x, y in zip(cut, cut[1:])], pa.binary())})
 
     notes = masks.groupBy("gid").agg(F.collect_list(F.struct("part", "bits")).alias("notes"))
-    verdicts = C.save(blocks.select("gid", "docs", "offs", "text").join(notes, "gid", "left").mapInArrow(send, "part int, gid long, hashes binary, sizes binary, least binary, text binary").groupBy("part").applyInArrow(sort_shards, note), "op1-verdicts")
+    with C.batches_of(spark, 4):
+        verdicts = C.save(blocks.select("gid", "docs", "offs", "text").join(notes, "gid", "left").mapInArrow(send, "part int, gid long, hashes binary, sizes binary, least binary, text binary").groupBy("part").applyInArrow(sort_shards, note), "op1-verdicts")
     C.release(spark)
 
     def cut_out(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                got = row["notes"] or ()
-                s, docs_ = marked(row, {x["part"]: x["bits"] for x in got if x["kind"] == 0})
-                buf, offs = s.buf, s.offs
-                gone = np.zeros(len(buf) + 1, np.int64)
-                o, i = s.distinct()
-                if len(i):
-                    word = np.zeros(len(i), U64)
-                    words_of = {x["part"]: x["bits"] for x in got if x["kind"] == 1}
-                    for part, x, y in _by_part(s.hash[o[i]], parts):
-                        word[x:y] = np.frombuffer(words_of[part], "<u4")
-                    size = np.diff(np.append(i, len(o)))
-                    d = docs_[s.doc][o]
-                    least = np.repeat(np.minimum.reduceat(d, i), size)
-                    word = np.where(d > least, U64(0xFFFFFFFF), np.repeat(word, size))
-                    first, m = s.first[o], s.last[o] - s.first[o] + 1
-                    for j in range(span - K + 1):
-                        hit = first[(m > j) & (word >> U64(j) & U64(1) == 1)] + j
-                        np.add.at(gone, hit, 1)
-                        np.add.at(gone, hit + span, -1)
-                cover = np.cumsum(gone)[:-1] > 0
-                left = buf[~cover]
-                cum = np.concatenate([[0], np.cumsum(cover)])
-                removed = cum[offs[1:]] - cum[offs[:-1]]
-                begin = cover.copy()
-                begin[1:] &= ~cover[:-1]
-                inner = offs[:-1][np.diff(offs) > 0]
-                begin[inner] = cover[inner]  # runs end with their document
-                runs = np.concatenate([[0], np.cumsum(begin)])
-                n = np.diff(offs)
-                keep_at = np.concatenate([[0], np.cumsum(n - removed)])
-                kept = [left[x:y].tobytes() for x, y in zip(keep_at, keep_at[1:])]
-                cols = [pa.array(docs_, pa.int64(), mask=docs_ == NEVER), pa.array(n), pa.array(removed), pa.array(runs[offs[1:]] - runs[offs[:-1]]), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if text_out:
-                    cols += [pa.array([x.decode(errors="ignore") for x in kept]), pa.array(row["rest"] if other else [None] * len(kept), pa.string())]
-                    names += ["text", "rest"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for row in C.rows_of(batches):
+            got = row["notes"] or ()
+            s, docs_ = marked(row, {x["part"]: x["bits"] for x in got if x["kind"] == 0})
+            buf, offs = s.buf, s.offs
+            gone = np.zeros(len(buf) + 1, np.int64)
+            o, i = s.distinct()
+            if len(i):
+                word = np.zeros(len(i), U64)
+                words_of = {x["part"]: x["bits"] for x in got if x["kind"] == 1}
+                for part, x, y in _by_part(s.hash[o[i]], parts):
+                    word[x:y] = np.frombuffer(words_of[part], "<u4")
+                size = np.diff(np.append(i, len(o)))
+                d = docs_[s.doc][o]
+                least = np.repeat(np.minimum.reduceat(d, i), size)
+                word = np.where(d > least, U64(0xFFFFFFFF), np.repeat(word, size))
+                first, m = s.first[o], s.last[o] - s.first[o] + 1
+                for j in range(span - K + 1):
+                    hit = first[(m > j) & (word >> U64(j) & U64(1) == 1)] + j
+                    np.add.at(gone, hit, 1)
+                    np.add.at(gone, hit + span, -1)
+            cover = np.cumsum(gone)[:-1] > 0
+            left = buf[~cover]
+            cum = np.concatenate([[0], np.cumsum(cover)])
+            removed = cum[offs[1:]] - cum[offs[:-1]]
+            begin = cover.copy()
+            begin[1:] &= ~cover[:-1]
+            inner = offs[:-1][np.diff(offs) > 0]
+            begin[inner] = cover[inner]  # runs end with their document
+            runs = np.concatenate([[0], np.cumsum(begin)])
+            n = np.diff(offs)
+            keep_at = np.concatenate([[0], np.cumsum(n - removed)])
+            kept = [left[x:y].tobytes() for x, y in zip(keep_at, keep_at[1:])]
+            cols = [pa.array(docs_, pa.int64(), mask=docs_ == NEVER), pa.array(n), pa.array(removed), pa.array(runs[offs[1:]] - runs[offs[:-1]]), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if text_out:
+                cols += [pa.array([x.decode(errors="ignore") for x in kept]), pa.array(row["rest"] if other else [None] * len(kept), pa.string())]
+                names += ["text", "rest"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     both = masks.unionByName(verdicts).groupBy("gid").agg(F.collect_list(F.struct("kind", "part", "bits")).alias("notes"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string, rest string" if text_out else "")
-    out = blocks.join(both, "gid", "left").mapInArrow(cut_out, schema)
+    with C.batches_of(spark, 4):
+        out = C.save(blocks.join(both, "gid", "left").mapInArrow(cut_out, schema), "op1-result")
+    C.drop(blocks, masks, verdicts)
     if not text_out:
         return out
     if other:
