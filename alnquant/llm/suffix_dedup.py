@@ -247,18 +247,25 @@ def remove_repeats(docs: DataFrame, span: int = 50, text_out: bool = False) -> D
         which = np.empty(len(o), np.int64)
         which[o] = kind
         one, owner = o[i], np.minimum.reduceat(mine[o], i)
-        # shards of whole minimizers
-        total, key = np.cumsum(size[one] + 1), every[one]
-        seen = np.zeros(int((size[one] - span + 1).sum()), np.int64)
+        # a minimizer with one segment has no string in any other: only those with several are sorted, in shards of whole ones
         string = np.concatenate([[0], np.cumsum(size[one] - span + 1)])
+        seen = np.repeat(owner, size[one] - span + 1)
+        key = every[one]
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        again[:-1] |= again[1:]
+        rows = np.flatnonzero(again)
+        total, key = np.cumsum(size[one][rows] + 1), key[rows]
         lo = 0
-        while lo < len(one):
+        while lo < len(rows):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SHARD)))
-            lim = key[hi - 1]
-            back = int(np.searchsorted(key, lim, "left"))
-            hi = int(np.searchsorted(key, lim, "right")) if back <= lo else back if hi < len(one) else hi
-            w = one[lo:hi]
-            seen[string[lo] : string[hi]] = strings_seen_before(_gather(text, start[w], end[w]), size[w], owner[lo:hi], span)
+            back = int(np.searchsorted(key, key[hi - 1], "left"))
+            hi = int(np.searchsorted(key, key[hi - 1], "right")) if back <= lo else back if hi < len(rows) else hi
+            part = rows[lo:hi]
+            w = one[part]
+            m = size[w] - span + 1
+            at = np.repeat(string[part] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+            seen[at] = strings_seen_before(_gather(text, start[w], end[w]), size[w], owner[part], span)
             lo = hi
         # one word of bits for each segment that came: which of its strings a smaller doc_id has
         m = size - span + 1
