@@ -175,6 +175,18 @@ def _odd_rows(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return at[1:] > at[:-1]
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of one occurrence of each distinct value, and which of them each place has."""
+    o = np.argsort(h)
+    new = np.empty(len(h), bool)
+    new[:1] = True
+    x = h[o]
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    which = np.empty(len(h), np.int32)
+    which[o] = np.cumsum(new, dtype=np.int32) - 1
+    return o[new], which
+
+
 _UNIT = np.ones(256, bool)
 _UNIT[[10, 32]] = False
 _LETTER = np.zeros(256, bool)
@@ -244,7 +256,7 @@ class Encoder:
         mark = ((last == 44) | (last == 46)) & letter & (e - s > np.where(b1 >= 0x80, 2, 1))
         e = e - mark
         h = C.span_hash(buf, s, e, lower=False) ^ C.mix(space.astype(np.uint64))
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        at, which = _distinct(h)
         data, kept = buf.tobytes(), self.kept
         if len(kept) > self.LIMIT:
             kept.clear()
@@ -274,8 +286,8 @@ class Encoder:
             out[(to - 1)[feed]] = self.feed
             out[(to + lens)[mark]] = self.marks[last[mark]]
             ends = np.cumsum(lens)
-            step = np.arange(int(ends[-1])) - np.repeat(ends - lens, lens)
-            out[np.repeat(to, lens) + step] = flat[np.repeat(start[which], lens) + step]
+            place = np.arange(int(ends[-1]))
+            out[np.repeat(to - ends + lens, lens) + place] = flat[np.repeat(start[which] - ends + lens, lens) + place]
         for r, x in zip(whole.tolist(), more):
             out[row_end[r] - per_row[r] : row_end[r] - 1] = np.frombuffer(x, "<u4")
         return out, per_row
