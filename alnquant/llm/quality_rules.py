@@ -50,21 +50,24 @@ def measures(docs: DataFrame, carried: list[str]) -> DataFrame:
     d = d.withColumn("s", F.expr("case when size(array_distinct(g)) < size(g) then sort_array(transform(g, (h, i) -> struct(h as h, i as i))) end"))
     d = d.withColumn("at", F.expr("case when s is null then null else sort_array(transform(filter(sequence(0, size(s) - 1), k -> (k > 0 and s[k].h = s[greatest(k - 1, 0)].h) or (k < size(s) - 1 and s[k].h = s[least(k + 1, size(s) - 1)].h)), k -> s[k].i)) end"))
     d = d.withColumn("n_repeat_words", F.expr("case when at is null then 0L else cast(aggregate(sequence(0, size(at) - 1), 0, (n, k) -> n + case when k = size(at) - 1 then 3 else least(3, at[least(k + 1, size(at) - 1)] - at[k]) end) as bigint) end"))
-    in_list = ", ".join(map(_lit, WORDS))
-    d = d.withColumn("common", F.expr(f"filter(transform(w, x -> lower(x)), x -> x in ({in_list}))"))
+    forms = ", ".join(_lit(f(x)) for x in WORDS for f in (str.lower, str.capitalize, str.upper))
+    d = d.withColumn("common", F.expr(f"transform(filter(w, x -> x in ({forms})), x -> lower(x))"))
     d = d.withColumn("lines", F.expr(r"filter(split(t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
-    counts = {f"c_{k}": F.expr(f"regexp_count(t, {_raw(v)})") for k, v in CLASSES.items()}
-    words = {f"w_{i}": F.expr(f"size(filter(common, x -> x = {_lit(x)}))") for i, x in enumerate(WORDS)}
+    # all classes but the first are counted on what it leaves, a small part of the text
+    first, *others = CLASSES
+    d = d.withColumn("rest", F.expr(f"regexp_replace(t, {_raw(CLASSES[first] + '+')}, '')"))
+    d = d.withColumns({"n_all": F.char_length("t"), "n_rest": F.char_length("rest"), **{f"c_{k}": F.expr(f"regexp_count(rest, {_raw(CLASSES[k])})") for k in others}})
+    words = [F.size("common") - F.size(F.array_remove("common", x)) for x in WORDS]
     return d.select(
         *carried,
         F.size("w").cast("long").alias("n_words"),
-        F.expr(r"cast(char_length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '')) as bigint)").alias("word_chars"),
-        F.expr(r"cast(regexp_count(t, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
+        (F.col("n_all") - F.col("c_space") - F.col("c_line")).cast("long").alias("word_chars"),
+        F.expr(r"cast(regexp_count(rest, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) as bigint)").alias("n_dup_lines"),
         "n_repeat_words",
-        F.char_length("t").alias("n_all"),
-        F.array(*counts.values()).alias("chars"),
-        F.array(*words.values()).alias("words"),
+        "n_all",
+        F.array(F.col("n_all") - F.col("n_rest"), *[F.col(f"c_{k}") for k in others]).alias("chars"),
+        F.array(*words).alias("words"),
     )
 
 
