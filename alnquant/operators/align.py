@@ -69,10 +69,33 @@ def on_target(aln: DataFrame, regions: DataFrame, ref: str = "rid", seqid: str =
 
 
 def run_ids(rows: DataFrame, key: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Number of the run of equal keys that each row is in, in the given order; ``by`` are streams of their own."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    new = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
-    return rows.withColumn("__new", new).withColumn("run_id", F.sum("__new").over(w)).drop("__new")
+    """Number of the run of equal keys that each row is in, in the given order; ``by`` are streams of their own.
+
+    Without streams the rows are dealt to ranges of the first order column (a number or a time), so no task has to hold them
+    all; each range counts its own runs, and one row of each range says where its count begins and whether its first run
+    goes on from the range before."""
+
+    def numbered(d: DataFrame, parts: list[str]) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*order)
+        begins = (F.row_number().over(w) == 1) | ~F.lag(key).over(w).eqNullSafe(F.col(key))
+        return d.withColumn("__new", begins.cast("int")).withColumn("run_id", F.sum("__new").over(w)).drop("__new")
+
+    if by:
+        return numbered(rows, by)
+    timed = dict(rows.dtypes)[order[0]] in ("timestamp", "timestamp_ntz", "date")
+    first = (F.col(order[0]).cast("timestamp") if timed else F.col(order[0])).cast("double")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.select(first.alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    place = sum(((first >= c).cast("int") for c in cuts), F.lit(0))
+    d = numbered(rows.withColumn("__part", F.coalesce(place, F.lit(-1))), ["__part"])
+    # the first and last row of each range, by row numbers that the window has already put in order
+    w = Window.partitionBy("__part").orderBy(*order)
+    d = d.withColumn("__at", F.row_number().over(w))
+    ends = d.groupBy("__part").agg(F.min_by(key, "__at").alias("a"), F.max_by(key, "__at").alias("z"), F.max("run_id").alias("n"))
+    w = Window.orderBy("__part")  # one row for each range
+    ends = ends.withColumn("goes_on", ((F.row_number().over(w) > 1) & F.lag("z").over(w).eqNullSafe(F.col("a"))).cast("int"))
+    ends = ends.select("__part", (F.sum("n").over(w) - F.col("n") - F.sum("goes_on").over(w)).alias("__before"))
+    return d.join(F.broadcast(ends), "__part").withColumn("run_id", F.col("run_id") + F.col("__before")).drop("__part", "__before", "__at")
 
 
 def aligned_pairs(aln: DataFrame) -> DataFrame:

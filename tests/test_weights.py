@@ -154,6 +154,14 @@ def test_stranded_and_gene_groups(spark):
 def test_runs_pairs_and_unseen(spark):
     d = spark.createDataFrame([(i, k) for i, k in enumerate("aabba")], "i int, k string")
     assert [r["run_id"] for r in align.run_ids(d, "k", ["i"]).orderBy("i").collect()] == [1, 1, 2, 2, 3]
+    rng = random.Random(1)
+    keys = [rng.choice(["a", "a", "b", None]) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
+    want, n = [], 0
+    for i, k in enumerate(keys):
+        n += i == 0 or k != keys[i - 1]
+        want.append(n)
+    assert [r["run_id"] for r in align.run_ids(d, "k", ["i"]).orderBy("i").collect()] == want
     c = spark.createDataFrame([("A", "f", 1.0)], "category string, feature string, uniq_raw double")
     dim = spark.createDataFrame([("A", "f"), ("A", "g"), ("B", "h")], "category string, feature string")
     assert sorted((r["feature"], r["uniq_raw"]) for r in features.with_unseen(c, dim).collect()) == [("f", 1.0), ("g", 0.0)]
