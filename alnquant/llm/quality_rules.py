@@ -8,6 +8,8 @@ language tag does no harm; short documents have noisier histograms and get more
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from . import common as C
 MIN_WORDS = 50
 CHAR_LIMIT, WORD_LIMIT = 0.20, 0.50  # distances that a long document may have
 ROOM = 0.7  # added, divided by the square root of the number of words
+BLOCK = 64  # language references that one step compares with
 
 #: character classes: name and Java pattern
 CLASSES = {
@@ -96,19 +99,26 @@ def judge(docs: DataFrame) -> DataFrame:
     d = C.save(d.withColumn("p", _shares("chars", "n_all")).withColumn("q", _shares("words", "n_words")).drop("chars", "words", "n_all"), "op4-measures")
     np_, nq = len(CLASSES) + 1, len(WORDS) + 1
     refs = d.where("not base_failed").groupBy("lang").agg(
-        F.count("*").alias("n"),
         F.array(*[F.avg(F.col("p")[i]) for i in range(np_)]).alias("p"),
         F.array(*[F.avg(F.col("q")[i]) for i in range(nq)]).alias("q"),
     )
-    # as many references as languages, at most 64: one row of constants each
-    rows = refs.orderBy(F.desc("n"), "lang").limit(64).collect()
-    room = f"{ROOM}e0 / sqrt(greatest(cast(n_words as double), 1e0))"
-    for name, col, limit in (("char_distance", "p", CHAR_LIMIT), ("word_distance", "q", WORD_LIMIT)):
-        if rows:
+    # every language's reference, a block of constants at a time; the running least passes from block to block
+    refs = C.save(refs, "op4-references")
+    d = d.withColumns({"char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
+    it = refs.toLocalIterator()
+    rows, first = list(islice(it, BLOCK)), True
+    while rows:
+        for name, col in (("char_distance", "p"), ("word_distance", "q")):
             each = [_distance(col, "array(" + ", ".join(f"{x:.17e}" for x in r[col]) + ")") for r in rows]
-            d = d.withColumn(name, F.expr(f"least({', '.join(each)})" if len(each) > 1 else each[0]))
-        else:
-            d = d.withColumn(name, F.lit(0.0))
+            d = d.withColumn(name, F.expr(each[0] if first and len(each) == 1 else f"least({', '.join(each if first else [name, *each])})"))
+        rows, first = list(islice(it, BLOCK)), False
+        if rows:
+            was, d = d, C.save(d, "op4-distances")
+            C.drop(was)
+    C.drop(refs)
+    room = f"{ROOM}e0 / sqrt(greatest(cast(n_words as double), 1e0))"
+    for name, limit in (("char_distance", CHAR_LIMIT), ("word_distance", WORD_LIMIT)):
+        d = d.withColumn(name, F.coalesce(name, F.lit(0.0)))
         d = d.withColumn(f"{name}_ok", F.col(name) <= F.lit(limit) + F.expr(room))
     kept = ~F.col("base_failed") & F.col("char_distance_ok") & F.col("word_distance_ok")
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")

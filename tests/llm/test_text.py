@@ -155,6 +155,23 @@ def test_quality_rules(spark):
     assert quality_rules.judge(df.where("false")).count() == 0
 
 
+def test_quality_rules_with_many_languages(spark):
+    """A document of the rarest of 130 language tags is judged by its own reference, as in the SQL."""
+    import duckdb
+
+    from alnquant.llm.queries import ORACLE
+
+    latin = [" ".join(f"{'abcdefgh'[i % 8]}{'ijklmnop'[j % 8]}{j}x" for j in range(60)) for i in range(2)]
+    rows = [(2 * k + i, latin[i], f"t{k:03}") for k in range(129) for i in range(2)]
+    rows.append((1000, " ".join("абвгдежз"[j % 8] + "клмнопрс"[j // 8] + "туфхцчшщ"[j % 7] * 3 for j in range(60)), "zz"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_rules.judge(df).select("doc_id", "base_failed", "kept", "char_distance").collect()
+    assert [(r["base_failed"], r["kept"], r["char_distance"]) for r in got if r["doc_id"] == 1000] == [(False, True, 0.0)]
+    documents = df.toPandas()  # noqa: F841
+    want = duckdb.sql(f"select doc_id, kept from ({ORACLE['op4_quality_rules']})").fetchall()
+    assert sorted((r["doc_id"], r["kept"]) for r in got) == sorted(want)
+
+
 def test_pages(spark):
     t = lambda p: html_text.main_text(html_text.parse(p)[0])
     assert t("<p>a<p>b <b>c</b>d<br>e</p><script>x</p></script><div class='ad-box'>zz</div>tail &amp; x&nbsp; y <!-- c --> z") == "a b cd e tail & x y z"
