@@ -155,6 +155,16 @@ def test_quality_rules(spark):
     assert quality_rules.judge(df.where("false")).count() == 0
 
 
+def test_each_distance_alone_rejects(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    text = lambda share, tail="": " ".join(rng.choice(quality_rules.COMMON["en"]) if rng.random() < share else word() + tail for _ in range(300))
+    rows = [(d, text(0.3), "en") for d in range(40)] + [(100, text(0), "en"), (101, text(0.3, "%%%$$$"), "en")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r["base_failed"] for r in got.values()) and {d for d, r in got.items() if not r["kept"]} == {100, 101}
+    assert got[100]["char_distance"] < quality_rules.CHAR_LIMIT and got[101]["word_distance"] < quality_rules.WORD_LIMIT
+
+
 def test_quality_rules_with_many_languages(spark):
     """A document of the rarest of 130 language tags is judged by its own reference, as in the SQL."""
     import duckdb
