@@ -1,4 +1,4 @@
-"""Induced suffix sorting with common-prefix values, over queues that spill to disk.
+"""Induced suffix sorting in memory with common-prefix values; only queue entries beyond a budget wait on disk.
 
 Suffixes are typed S or L, the leftmost S of each run (LMS) seed the order, L suffixes are induced from left to right and
 S suffixes from right to left.  The priority queue of an induction is a queue for each first character, served in order of

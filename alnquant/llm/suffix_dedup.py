@@ -8,8 +8,8 @@ one segment of at most SPAN + SPAN - K bytes.
 1. Blocks of documents are written once.  Each sends the minimizer hashes of its documents, by hash range; the receivers
    answer with a bit for each hash that more than one document has.
 2. Each block sends its segments around those minimizers, equal ones once with their smallest doc_id.  A receiver merges
-   equal segments of all blocks, sorts the suffixes of the others by disk-backed induced sorting with common-prefix values
-   (:mod:`induce`), takes the smallest doc_id of each group of SPAN-byte prefixes, and answers with a bit for each string.
+   equal segments of all blocks, sorts the suffixes of the others in memory by induced sorting with common-prefix values
+   (:mod:`induce`; a minimizer is not split, however many segments it has), takes the smallest doc_id of each group of SPAN-byte prefixes, and answers with a bit for each string.
 3. Each block removes the bytes.  Nothing but bits comes back, so hot passages cost a block one segment.
 """
 
