@@ -83,11 +83,14 @@ def read_header_table(spark: SparkSession, path, sep: str = "\t", header: list[s
     """A delimited table; the header is the given one, or the first line after ``skip_lines - 1`` skipped ones (a leading #
     is dropped); ## lines and lines that start with # are comments."""
     if header is None:
-        head = spark.read.text(path).limit(max(1, skip_lines) + 64).collect()
-        lines = [r["value"] for r in head][max(0, skip_lines - 1) :]
-        first = next((x for x in lines if x.strip() and not x.startswith("##")), None)
-        if first is None:
-            raise ValueError("the file ends before its header")
+        first, n = None, max(1, skip_lines) + 64
+        while first is None:
+            head = spark.read.text(path).limit(n).collect()
+            lines = [r["value"] for r in head][max(0, skip_lines - 1) :]
+            first = next((x for x in lines if x.strip() and not x.startswith("##")), None)
+            if first is None and len(head) < n:
+                raise ValueError("the file ends before its header")
+            n *= 4
         header = first.strip().lstrip("#").split(sep)
         raw = _rows(spark, path, sep).where(F.array_join("f", sep) != F.lit(first.strip()))
         if skip_lines > 1:

@@ -145,3 +145,13 @@ def test_streaming_counts_each_file_once(spark, tmp_path):
     ingest.start(spark, str(folder), out, cp).awaitTermination()
     r = ingest.totals(spark, out).first()
     assert (r["rid"], r["uniq_raw"]) == ("g1", 3.0)
+
+
+def test_header_after_many_comments(spark, tmp_path):
+    path = tmp_path / "long.tsv"
+    path.write_text("## note\n\n" * 300 + "#gene\tpf\ng1\tx\n")
+    t = A.read_header_table(spark, str(path))
+    assert t.columns == ["gene", "pf"] and [tuple(r) for r in t.collect()] == [("g1", "x")]
+    path.write_text("## note\n" * 300)
+    with pytest.raises(ValueError):
+        A.read_header_table(spark, str(path))
