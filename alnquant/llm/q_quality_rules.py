@@ -11,6 +11,18 @@ def op4_quality_rules(spark, sf_dir):
 QUERIES = {"op4_quality_rules": op4_quality_rules}
 
 
+#: the character classes of the operator, as patterns
+PATTERNS = {
+    "lower": "[a-z]",
+    "upper": "[A-Z]",
+    "digit": "[0-9]",
+    "space": "[ ]",
+    "line": "[\\x09-\\x0D]",
+    "stop": "[.,;:?'\"()-]",
+    "symbol": "[\\x21\\x23-\\x26\\x2A\\x2B\\x2F\\x3C-\\x3E\\x40\\x5B-\\x60\\x7B-\\x7F]",
+}
+
+
 def _distance(bins: int, p: str, q: str) -> str:
     term = "case when {x} > 0 then {x} * log2({x} / (({x} + {y}) / 2e0)) else 0e0 end"
     both = [f"({term.format(x=f'{p}{i}', y=f'{q}{i}')} + {term.format(x=f'{q}{i}', y=f'{p}{i}')}) / 2e0" for i in range(bins)]
@@ -19,7 +31,7 @@ def _distance(bins: int, p: str, q: str) -> str:
 
 def _oracle() -> str:
     forms = ", ".join(f"'{f(x)}'" for x in R.WORDS for f in (str.lower, str.capitalize, str.upper))
-    chars, words = list(R.CLASSES.values()), R.WORDS
+    chars, words = [PATTERNS[k] for k in R.CLASSES], R.WORDS
     count = ", ".join("length(t) - length(regexp_replace(t, '{}', '', 'g')) as n{}".format(c.replace("'", "''"), i) for i, c in enumerate(chars))
     per_word = ", ".join(f"coalesce(sum(n) filter (where x = '{x}'), 0) as m{i}" for i, x in enumerate(words))
     shares = [f"n{i} / greatest(cast(n_all as double), 1e0) as p{i}" for i in range(len(chars))]

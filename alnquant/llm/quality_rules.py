@@ -8,6 +8,7 @@ language tag does no harm; short documents have noisier histograms and get more
 
 from __future__ import annotations
 
+import string
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame
@@ -20,17 +21,18 @@ MIN_WORDS = 50
 # of quality 0 rejected, 2 of 1529 of quality 1 lost); the other half, held out: 145 of 150 and 1 of 1714
 CHAR_LIMIT, WORD_LIMIT = 0.16, 0.22
 ROOM = 0.7  # added, divided by the square root of the number of words
+LOW = (1 << 24) - 1  # bits of a window's place beside its hash
 BLOCK = 64  # language references that one step compares with
 
-#: character classes: name and Java pattern
+#: character classes: name and characters
 CLASSES = {
-    "lower": "[a-z]",
-    "upper": "[A-Z]",
-    "digit": "[0-9]",
-    "space": "[ ]",
-    "line": "[\\x09-\\x0D]",
-    "stop": "[.,;:?'\"()-]",
-    "symbol": "[\\x21\\x23-\\x26\\x2A\\x2B\\x2F\\x3C-\\x3E\\x40\\x5B-\\x60\\x7B-\\x7F]",
+    "lower": string.ascii_lowercase,
+    "upper": string.ascii_uppercase,
+    "digit": string.digits,
+    "space": " ",
+    "line": "\t\n\x0b\x0c\r",
+    "stop": ".,;:?'\"()-",
+    "symbol": "!#$%&*+/<=>@[\\]^_`{|}~\x7f",
 }
 #: the most frequent words of each language (fixed values)
 COMMON = {
@@ -40,49 +42,76 @@ COMMON = {
     "es": "de la que el en y a los del se las por un para con no una su al lo".split(),
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
+RANKED = list(dict.fromkeys(w for ws in zip(*COMMON.values()) for w in ws))  # the most frequent of each language first
+FIRST = "lower"  # the class of most characters
 
 
 def _lit(s: str) -> str:
-    return "'" + s.replace("'", "\\'") + "'"
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def measures(docs: DataFrame, carried: list[str]) -> DataFrame:
     """Base measures and histograms of each text; a null text has no words."""
     d = docs.select(*carried, F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    d = d.withColumn("w", F.expr(r"regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+', 0)"))
-    d = d.withColumn("g", F.expr("case when size(w) >= 3 then transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) else cast(array() as array<bigint>) end"))
-    # windows found twice or more: sorted by (hash, place), equal neighbours
-    d = d.withColumn("s", F.expr("case when size(array_distinct(g)) < size(g) then sort_array(transform(g, (h, i) -> struct(h as h, i as i))) end"))
-    d = d.withColumn("at", F.expr("case when s is null then null else sort_array(transform(filter(sequence(0, size(s) - 1), k -> (k > 0 and s[k].h = s[greatest(k - 1, 0)].h) or (k < size(s) - 1 and s[k].h = s[least(k + 1, size(s) - 1)].h)), k -> s[k].i)) end"))
-    d = d.withColumn("n_repeat_words", F.expr("case when at is null then 0L else cast(aggregate(sequence(0, size(at) - 1), 0, (n, k) -> n + case when k = size(at) - 1 then 3 else least(3, at[least(k + 1, size(at) - 1)] - at[k]) end) as bigint) end"))
-    forms = ", ".join(_lit(f(x)) for x in WORDS for f in (str.lower, str.capitalize, str.upper))
-    d = d.withColumn("common", F.expr(f"transform(filter(w, x -> x in ({forms})), x -> lower(x))"))
-    d = d.withColumn("lines", F.expr(r"filter(split(t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
-    # all classes but the first are counted on what it leaves, a small part of the text
-    first, *others = CLASSES
-    d = d.withColumn("rest", F.expr(f"regexp_replace(t, {_raw(CLASSES[first] + '+')}, '')"))
-    d = d.withColumns({"n_all": F.char_length("t"), "n_rest": F.char_length("rest"), **{f"c_{k}": F.expr(f"regexp_count(rest, {_raw(CLASSES[k])})") for k in others}})
-    words = [F.size("common") - F.size(F.array_remove("common", x)) for x in WORDS]
-    return d.select(
+    # splitting at one plain character needs no regular expression, and replacing a character that is not there is a scan
+    blank = "t"
+    for code in range(0x09, 0x0E):
+        blank = f"replace({blank}, char({code}), ' ')"
+    d = d.withColumn("w", F.expr(f"array_remove(split({blank}, ' '), '')"))
+    d = d.withColumns({
+        "rest": F.expr(f"translate(t, {_lit(CLASSES[FIRST] + CLASSES['space'])}, '')"),
+        "lines": F.expr(r"filter(split(t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"),
+        "found": F.expr(f"filter(w, x -> x in ({', '.join(_lit(f(x)) for x in WORDS for f in (str.lower, str.capitalize, str.upper))}))"),
+        "g": F.expr("case when size(w) >= 3 then transform(arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2)), x -> xxhash64(x)) else cast(array() as array<bigint>) end"),
+    })
+    # what is neither of the first class nor a blank is a small part of the text; the other classes are counted there
+    rest = [k for k in CLASSES if k not in (FIRST, "space")]
+    # the common words, each between bars of its own, are taken out one after the other: the lengths give their counts
+    tally = f"aggregate(array({', '.join(_lit(f'|{x}|') for x in RANKED)}), struct(concat('|', lower(array_join(found, '||')), '|') as s, cast(array() as array<int>) as n), (a, x) -> struct(replace(a.s, x, '') as s, concat(a.n, array(octet_length(a.s))) as n), a -> concat(a.n, array(octet_length(a.s))))"
+    d = d.select(
         *carried,
-        F.size("w").cast("long").alias("n_words"),
-        (F.col("n_all") - F.col("c_space") - F.col("c_line")).cast("long").alias("word_chars"),
-        F.expr(r"cast(regexp_count(rest, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
+        "g",
+        F.size("w").alias("n_w"),
+        F.size("found").alias("n_found"),
+        F.char_length("t").alias("n_all"),
+        F.char_length("rest").alias("n_rest"),
+        F.expr("octet_length(t) - octet_length(replace(t, ' ', ''))").alias("c_space"),
+        *(F.expr(f"char_length(rest) - char_length(translate(rest, {_lit(CLASSES[k])}, ''))").alias(f"c_{k}") for k in rest),
+        F.expr("cast(char_length(rest) - char_length(translate(rest, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) as bigint)").alias("n_dup_lines"),
-        "n_repeat_words",
-        "n_all",
-        F.array(F.col("n_all") - F.col("n_rest"), *[F.col(f"c_{k}") for k in others]).alias("chars"),
-        F.array(*words).alias("words"),
+        F.expr(tally).alias("tally"),
     )
+    chars = [F.col("n_all") - F.col("n_rest") - F.col("c_space"), *(F.col(f"c_{k}") for k in CLASSES if k != FIRST)]
+    words = [F.expr(f"(tally[{i}] - tally[{i + 1}]) div {len(x.encode()) + 2}") for x in WORDS for i in [RANKED.index(x)]]
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    d = d.select(
+        *carried,
+        "g",
+        F.col("n_w").cast("long").alias("n_words"),
+        (F.col("n_all") - F.col("c_space") - F.col("c_line")).cast("long").alias("word_chars"),
+        "n_symbols",
+        "n_dup_lines",
+        _shares(chars, F.col("n_all"), sum(chars[1:], chars[0])).alias("p"),
+        _shares(words, F.col("n_w"), F.col("n_found")).alias("q"),
+    )
+    # windows found twice or more: hashes sorted (their low 24 bits given to the place), places in the order with an equal one before
+    d = d.withColumn("s", F.expr(f"case when size(array_distinct(g)) < size(g) then sort_array(transform(g, (h, i) -> (h & {~LOW}L) | i)) end"))
+    d = d.withColumn("k", F.expr("filter(sequence(1, size(s) - 1), k -> shiftright(s[k] ^ s[k - 1], 24) = 0)"))
+    # places beyond 24 bits, or hashes that differ in the bits given away, are told apart by (hash, place) in full
+    d = d.withColumn("full", F.expr(f"size(g) > {LOW} or coalesce(exists(k, k -> g[cast(s[k] & {LOW} as int)] <> g[cast(s[k - 1] & {LOW} as int)]), false)"))
+    pairs = "sort_array(transform(g, (h, i) -> struct(h as h, i as i)))"
+    told = f"transform(array({pairs}), z -> sort_array(transform(filter(z, (x, k) -> (k > 0 and x.h = z[greatest(k - 1, 0)].h) or (k < size(z) - 1 and x.h = z[least(k + 1, size(z) - 1)].h)), x -> x.i)))[0]"
+    brief = f"sort_array(array_distinct(flatten(transform(k, k -> array(cast(s[k] & {LOW} as int), cast(s[k - 1] & {LOW} as int))))))"
+    d = d.withColumn("at", F.expr(f"case when s is null then null when full then {told} else {brief} end"))
+    d = d.withColumn("n_repeat_words", F.expr("case when at is null then 0L else cast(aggregate(sequence(0, size(at) - 1), 0, (n, k) -> n + case when k = size(at) - 1 then 3 else least(3, at[least(k + 1, size(at) - 1)] - at[k]) end) as bigint) end"))
+    return d.select(*carried, *base, "n_repeat_words", "p", "q")
 
 
-def _raw(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _shares(counts: str, total: str) -> Column:
-    """Histogram of an array of counts, with what is left of the total as the last bin."""
-    return F.expr(f"transform(concat({counts}, array(cast({total} - aggregate({counts}, 0, (a, x) -> a + x) as int))), x -> x / greatest(cast({total} as double), 1e0))")
+def _shares(counts: list[Column], total: Column, counted: Column) -> Column:
+    """Histogram of the counts, with what is left of the total as the last bin."""
+    # no lambda: an expression that a lambda refers to may be put into it, and be worked out for each element
+    whole = F.greatest(total.cast("double"), F.lit(1.0))
+    return F.array(*[x / whole for x in (*counts, total - counted)])
 
 
 def _distance(p: str, q: str) -> str:
@@ -98,7 +127,7 @@ def judge(docs: DataFrame) -> DataFrame:
     alone decide; a null language tag is a tag of its own."""
     d = measures(docs, ["doc_id", "lang"])
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    d = C.save(d.withColumn("p", _shares("chars", "n_all")).withColumn("q", _shares("words", "n_words")).drop("chars", "words", "n_all"), "op4-measures")
+    d = C.save(d, "op4-measures")
     np_, nq = len(CLASSES) + 1, len(WORDS) + 1
     refs = d.where("not base_failed").groupBy("lang").agg(
         F.array(*[F.avg(F.col("p")[i]) for i in range(np_)]).alias("p"),
