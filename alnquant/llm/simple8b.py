@@ -9,10 +9,12 @@ bits the other sixty hold; selector 0 escapes: the next word is one id of up to
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,56 +58,69 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             have += step
         runs[k] = top
         room = BLOCK - k + 1  # a word holds ids of one block
-        best[:, :room][(top <= s - 1).reshape(nb, BLOCK)[:, :room]] = s
+        np.copyto(best[:, :room], s, where=(top <= s - 1).reshape(nb, BLOCK)[:, :room])
     best = best.ravel()
-    at = np.zeros(nb, np.int64)
-    base = np.arange(nb) * BLOCK
-    size = np.minimum(BLOCK, n - base)
-    blk, word, order = [], [], []
-    padded = np.concatenate([ids, np.zeros(BLOCK, U64)])
-    live, step = np.arange(nb), 0
+    # where each word begins and its selector: one word of each block at a time
+    at = np.arange(nb) * BLOCK
+    end = np.minimum(at + BLOCK, n)
+    used = np.zeros(nb, np.int64)
+    blk, begin, slot = [], [], []
+    live = np.arange(nb)
     while len(live):
-        p = base[live] + at[live]
-        s = best[p].astype(np.int64)
-        v = s.astype(U64) << U64(60)
-        for sel in np.unique(s):
-            rows = np.flatnonzero(s == sel)
-            if sel:
-                k, w = int(COUNTS[sel]), U64(WIDTHS[sel])
-                acc = np.zeros(len(rows), U64)
-                for j in range(k):
-                    acc |= padded[p[rows] + j] << (U64(j) * w)
-                v[rows] |= acc
+        p = at[live]
+        s = best[p]
         blk.append(live)
-        word.append(v)
-        order.append(np.full(len(live), 2 * step))
-        esc = s == 0
-        if esc.any():
-            blk.append(live[esc])
-            word.append(padded[p[esc]])
-            order.append(np.full(int(esc.sum()), 2 * step + 1))
-        at[live] += COUNTS[s]
-        live = live[at[live] < size[live]]
-        step += 1
-    b = np.concatenate(blk)
-    o = np.argsort(b * (2 * BLOCK + 2) + np.concatenate(order), kind="stable")
+        begin.append(p)
+        slot.append(used[live])
+        used[live] += np.where(s == 0, 2, 1)  # an escaped id has a word of its own
+        at[live] = p = p + COUNTS[s]
+        live = live[p < end[live]]
     first = np.zeros(nb + 1, np.uint32)
-    np.cumsum(np.bincount(b, minlength=nb), out=first[1:])
-    return np.concatenate(word)[o], first
+    np.cumsum(used, out=first[1:])
+    begin = np.concatenate(begin)
+    to = first[np.concatenate(blk)].astype(np.int64) + np.concatenate(slot)
+    padded = np.concatenate([ids, np.zeros(BLOCK, U64)])
+    out = np.empty(int(first[-1]), U64)
+    sel = best[begin]
+    for s in np.flatnonzero(np.bincount(sel, minlength=16)):
+        rows = np.flatnonzero(sel == s)
+        p = begin[rows]
+        if s == 0:
+            out[to[rows]] = 0
+            out[to[rows] + 1] = padded[p]
+            continue
+        w = int(WIDTHS[s])
+        acc = np.full(len(rows), int(s) << 60, U64)
+        for j in range(int(COUNTS[s])):
+            acc |= padded[p + j] << U64(j * w)
+        out[to[rows]] = acc
+    return out, first
 
 
 def decode(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """All ids; the blocks' words are unpacked together, one selector at a time."""
+    """All ids; ``first`` says where each block's words begin and so where its ids go, and the blocks are unpacked together."""
+    blocks = len(first) - 1
+    if not n:
+        return np.zeros(0, U64)
+    lo = first[:-1].astype(np.int64)
+    n_words = first[1:].astype(np.int64) - lo
     sel = (words >> U64(60)).astype(np.int64)
     raw = np.zeros(len(words), bool)
-    if (sel == 0).any():  # which words are selectors and which are escaped ids is settled from left to right
-        i, zero = 0, np.flatnonzero(sel == 0)
-        for z in zero:
-            if z >= i:
-                raw[z + 1] = True
-                i = z + 2
+    if (sel == 0).any():
+        # which words are escaped ids is settled for all blocks side by side: one word of each block at a time
+        zeros = np.add.reduceat(sel == 0, lo)
+        live = np.flatnonzero(zeros)
+        skip = np.zeros(len(live), bool)
+        for j in range(int(n_words[live].max())):
+            inside = j < n_words[live]
+            live, skip = live[inside], skip[inside]
+            at = lo[live] + j
+            raw[at] = skip
+            skip = ~skip & (sel[at] == 0)
     count = np.where(raw, 0, COUNTS[sel])
-    start = np.concatenate([[0], np.cumsum(count)])[:-1]
+    run = np.cumsum(count) - count
+    block = np.repeat(np.arange(blocks), n_words)
+    start = run - run[lo][block] + block * BLOCK
     out = np.zeros(n, U64)
     for s in np.unique(sel[~raw]):
         rows = np.flatnonzero((sel == s) & ~raw)
@@ -119,6 +134,12 @@ def decode(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def decode_block(words: np.ndarray, first: np.ndarray, n: int, block: int) -> np.ndarray:
+    """The ids of one block alone; no other block's words are read."""
+    size = min(BLOCK, n - block * BLOCK)
+    return decode(words[first[block] : first[block + 1]], np.array([0, first[block + 1] - first[block]], np.uint32), size)
+
+
 def pack_file(doc_ids: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> bytes:
     words, first = encode(ids)
     head = b"S8B1" + np.array([len(doc_ids), len(first) - 1], "<u4").tobytes() + np.array([len(ids)], "<u8").tobytes()
@@ -175,16 +196,13 @@ def _odd_rows(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return at[1:] > at[:-1]
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of one occurrence of each distinct value, and which of them each place has."""
-    o = np.argsort(h)
-    new = np.empty(len(h), bool)
-    new[:1] = True
-    x = h[o]
-    np.not_equal(x[1:], x[:-1], out=new[1:])
-    which = np.empty(len(h), np.int32)
-    which[o] = np.cumsum(new, dtype=np.int32) - 1
-    return o[new], which
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, the place of one occurrence of each, and which of them each place has."""
+    coded = pa.array(h).dictionary_encode()
+    which, values = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    at = np.empty(len(values), np.int64)
+    at[which] = np.arange(len(h))
+    return values, at, which
 
 
 _UNIT = np.ones(256, bool)
@@ -193,103 +211,141 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
 
+#: the pre-tokeniser that the word-by-word path is made for (fixed values of the tokenizer file format)
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
 class Encoder:
     """The library's ids of whole texts.
 
-    In this pre-tokeniser a single space or line feed between other characters always starts a new pre-token, so a text is
-    the concatenation of words that begin there; each distinct word is given to the library once and kept.  Rows with any
-    other white space, or with text that looks like an added token, go to the library whole.
+    With a byte-level pre-tokeniser a single space or line feed between other characters always starts a new pre-token, so
+    a text is the concatenation of words that begin there; each distinct word is given to the library once and its ids are
+    kept.  Words are told apart by a 64-bit hash; rows with a word of over LONG bytes, with any other white space, or with
+    text that looks like an added token, go to the library whole, and so does every row where the tokenizer has a
+    normaliser, another pre-tokeniser, or added tokens that are not of the form ``<|...|>``.
     """
 
-    LIMIT = 1_500_000
+    LIMIT = 2_000_000  # words that are kept; beyond that the half that is used least goes
+    LONG = 255
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
-        self.kept: dict[bytes, bytes] = {}
+        spec = json.loads(self.tok.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        added = [t["content"] for t in spec.get("added_tokens") or ()]
+        plain = spec.get("normalizer") is None and all(pre.get(k) == v for k, v in BYTE_LEVEL.items()) and all(t.startswith("<|") for t in added)
         feed = self.tok.encode("\n", add_special_tokens=False).ids
-        if len(feed) != 1:
-            raise ValueError("this tokenizer does not code a line feed as one id")
+        marks = {m: self.tok.encode(m, add_special_tokens=False).ids for m in ",."}
+        self.whole = not plain or len(feed) != 1 or any(len(x) != 1 for x in marks.values())
+        if self.whole:
+            return
         self.feed = feed[0]
         self.marks = np.zeros(256, np.int64)  # id of a last comma or full stop, a pre-token of its own after a letter
-        for m in ",.":
-            (self.marks[ord(m)],) = self.tok.encode(m, add_special_tokens=False).ids
+        for m, ids in marks.items():
+            self.marks[ord(m)] = ids[0]
         vocab = self.tok.get_vocab()
         self.begins = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
         self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        """A word is kept with its space, if any."""
-        kept = self.kept
-        spaced = [x for x in new if x[0] == 32]
-        bare = [x for x in new if x[0] != 32]
-        for lo in range(0, len(spaced), 512):
-            some = spaced[lo : lo + 512]
-            ids = np.array(self.tok.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.begins[ids])
+        self.known = np.zeros(0, U64)  # hashes of the words kept, with the uses, place and number of the ids of each
+        self.uses = self.start = self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Keep the ids of new words, each with its space, if any."""
+        place, size, ids = [], [], []
+        spaced = [i for i, x in enumerate(words) if x[0] == 32]
+        bare = [i for i, x in enumerate(words) if x[0] != 32]
+        for lo in range(0, len(spaced), 4096):
+            some = spaced[lo : lo + 4096]
+            got = self._each([b"".join([words[i] for i in some]).decode()])[0]
+            at = np.flatnonzero(self.begins[got])
             if len(at) == len(some):  # each word has one id that begins with a space, its first
-                for x, i, j in zip(some, at.tolist(), [*at[1:].tolist(), len(ids)]):
-                    kept[x] = ids[i:j].tobytes()
+                place.append(np.array(some))
+                size.append(np.diff(np.append(at, len(got))))
+                ids.append(got)
             else:
                 bare += some
-        for x, ids in zip(bare, self._each([x.decode() for x in bare]) if bare else []):
-            kept[x] = ids
+        if bare:
+            each = self._each([words[i].decode() for i in bare])
+            place.append(np.array(bare))
+            size.append(np.array([len(x) for x in each]))
+            ids += each
+        size = np.concatenate(size)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.known = np.concatenate([self.known, hashes[np.concatenate(place)]])
+        self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int64)])
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def _forget(self) -> None:
+        o = np.argsort(-self.uses, kind="stable")[: self.LIMIT // 2]
+        size = self.size[o]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(int(ends[-1])) + np.repeat(self.start[o] - ends + size, size)]
+        self.known, self.uses, self.size, self.start = self.known[o], self.uses[o] >> 1, size, ends - size
+
+    def _look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash among those known, or -1."""
+        return pc.fill_null(pc.index_in(pa.array(hashes), value_set=pa.array(self.known)), -1).to_numpy()
 
     def batch(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each with the end id after it, and how many each row has."""
+        if self.whole:
+            each = [np.append(x, np.array([end], "<u4")) for x in self._each([x or "" for x in col.to_pylist()])]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.array([len(x) for x in each], np.int64)
         buf, offs = C.text_buffer(col)
         rows = len(offs) - 1
         odd = _odd_rows(buf, offs) if len(buf) else np.zeros(rows, bool)
         s, e, first = C.spans(buf, offs, _UNIT)
         row = np.repeat(np.arange(rows), np.diff(first))
+        odd[row[e - s > self.LONG]] = True
         own = np.zeros(len(s), bool)
         own[first[:-1][np.diff(first) > 0]] = True
         before = np.where(own, 0, buf[s - 1]) if len(s) else np.zeros(0, np.uint8)
         space, feed = before == 32, before == 10
-        use = ~odd[row]
-        s, e, row, space, feed = s[use], e[use], row[use], space[use], feed[use]
+        if odd.any():
+            use = ~odd[row]
+            s, e, row, space, feed = s[use], e[use], row[use], space[use], feed[use]
         last = buf[e - 1]
         b1, b2 = buf[np.maximum(e - 2, 0)], buf[np.maximum(e - 3, 0)]
         letter = _LETTER[b1] | (b2 == 0xC3) & (b1 >= 0x80) & (b1 != 0x97) & (b1 != 0xB7)  # of ASCII and Latin-1
         mark = ((last == 44) | (last == 46)) & letter & (e - s > np.where(b1 >= 0x80, 2, 1))
         e = e - mark
-        h = C.span_hash(buf, s, e, lower=False) ^ C.mix(space.astype(np.uint64))
-        at, which = _distinct(h)
-        data, kept = buf.tobytes(), self.kept
-        if len(kept) > self.LIMIT:
-            kept.clear()
-        names = [data[i:j] for i, j in zip((s[at] - space[at]).tolist(), e[at].tolist())]
-        missing = [x for x in names if x not in kept]
-        if missing:
-            self._learn(missing)
-        ids = [kept[x] for x in names]
-        size = np.array([len(x) for x in ids], np.int64) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        start = np.cumsum(size) - size
+        values, at, which = _distinct(C.span_hash(buf, s, e, lower=False) ^ C.mix(space.astype(np.uint64)))
+        if len(self.known) > self.LIMIT:
+            self._forget()
+        found = self._look_up(values)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            data, i = buf.tobytes(), at[new]
+            self._learn(values[new], [data[x:y] for x, y in zip((s[i] - space[i]).tolist(), e[i].tolist())])
+            found = self._look_up(values)
+        self.uses += np.bincount(found, np.bincount(which, minlength=len(values)), len(self.known)).astype(np.int64)
+        found = found[which]
+        lens, start = self.size[found], self.start[found]
         whole = np.flatnonzero(odd)
-        more = self._each(col.take(pa.array(whole)).to_pylist()) if len(whole) else []
-        extra = np.array([len(x) // 4 for x in more], np.int64)
+        more = self._each([x or "" for x in col.take(pa.array(whole)).to_pylist()]) if len(whole) else []
         # a line feed id stands before the ids of the word after it, a mark's after them, the end id after the row's last
-        lens = size[which]
-        per_row = np.bincount(row, weights=lens + feed + mark, minlength=rows).astype(np.int64)
-        per_row[whole] = extra
+        took = np.concatenate([[0], np.cumsum(lens + feed + mark)])
+        cut = took[np.searchsorted(row, np.arange(rows + 1))]
+        per_row = np.diff(cut)
+        per_row[whole] = [len(x) for x in more]
         per_row += 1
         row_end = np.cumsum(per_row)
         out = np.empty(int(row_end[-1]) if rows else 0, "<u4")
         out[row_end - 1] = end
         if len(s):
-            took = np.cumsum(lens + feed + mark)
-            before_row = np.concatenate([[0], took])[np.searchsorted(row, row)]
-            to = (row_end - per_row)[row] + took - lens - mark - before_row
+            to = (row_end - per_row - cut[:-1])[row] + took[:-1] + feed
             out[(to - 1)[feed]] = self.feed
             out[(to + lens)[mark]] = self.marks[last[mark]]
             ends = np.cumsum(lens)
             place = np.arange(int(ends[-1]))
-            out[np.repeat(to - ends + lens, lens) + place] = flat[np.repeat(start[which] - ends + lens, lens) + place]
+            out[np.repeat(to - ends + lens, lens) + place] = self.flat[np.repeat(start - ends + lens, lens) + place]
         for r, x in zip(whole.tolist(), more):
-            out[row_end[r] - per_row[r] : row_end[r] - 1] = np.frombuffer(x, "<u4")
+            out[row_end[r] - per_row[r] : row_end[r] - 1] = x
         return out, per_row
 
 
@@ -304,27 +360,17 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_file: in
     earlier files), n_ids, image.
     """
     spark = docs.sparkSession
-    n = C.parts_for(0, spark)
-
-    def squeeze(batches):
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            c = b.column(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x.as_buffer()) if (x := v).is_valid else None for v in c.cast(pa.binary())], pa.binary())], ["doc_id", "z"])
-
-    small = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").mapInArrow(squeeze, "doc_id long, z binary")
-    ranged = small.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "z")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    n = C.parts_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], spark)
+    ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def code(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import zstandard
         from pyspark import TaskContext
 
-        z, part, seq, before = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0, 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         enc = _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
         doc, blob, size, have = [], [], [], 0
 
@@ -333,12 +379,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, ids_per_file: in
             image = pack_file(np.concatenate(doc), np.concatenate(size), ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([image], pa.binary())], ["part", "seq", "before", "n_ids", "image"]), len(ids)
 
-        def opened():
-            for b in C.pieces(batches, "z", 3 << 20):
-                texts = pa.array([z.decompress(v, max_output_size=1 << 31) if v else b"" for v in b.column(1).to_pylist()], pa.large_binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), texts.cast(pa.large_string())], ["doc_id", "text"])
-
-        for b in C.pieces(opened(), "text", 8 << 20):
+        for b in C.pieces(batches, "text", 8 << 20):
             ids, lens = enc.batch(b.column(1), end_id)
             doc.append(b.column(0).to_numpy())
             blob.append(ids)

@@ -21,6 +21,8 @@ def test_simple8b():
         a[::7] = np.uint64((1 << 64) - 1)
         words, first = simple8b.encode(a)
         assert (simple8b.decode(words, first, n) == a).all()
+        for i in range(len(first) - 1):
+            assert (simple8b.decode_block(words, first, n, i) == a[i * simple8b.BLOCK : (i + 1) * simple8b.BLOCK]).all()
         d, k, ids = simple8b.unpack_file(simple8b.pack_file(np.array([5]), np.array([n]), a))
         assert d.tolist() == [5] and k.tolist() == [n] and (ids == a).all()
     with pytest.raises(ValueError):
@@ -35,15 +37,25 @@ def test_token_ids(spark, model):
 
     path = model("byte_bpe_50k.json")
     tok, docs = Tokenizer.from_file(path), corpus(1) + [(100 + i, t) for i, t in enumerate(ODD)]
-    docs = [(d, t) for d, t in docs if d != 43]
+    docs += [(500, "x" * 300 + " y"), (501, "b b"), (501, "a"), (501, "a")]  # rows of one doc_id stand in the order of their texts
     df = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, start string").repartition(3)
     got = sorted(simple8b.read_ids(simple8b.write_ids(df, path, ids_per_file=500)).collect())
     at = 0
-    for (d, t), r in zip(sorted(docs, key=lambda x: x[0]), got):
+    for (d, t), r in zip(sorted(docs, key=lambda x: (x[0], x[1] or "")), got):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
         assert tuple(r) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert simple8b.read_ids(simple8b.write_ids(df.where("false"), path)).count() == 0
+    # few words are kept, or none is trusted to a tokenizer of another kind: the ids are the same
+    texts = [t for _, t in docs]
+    want = [i for t in texts for i in tok.encode(t or "", add_special_tokens=False).ids + [2]]
+    enc = simple8b.Encoder(path)
+    enc.LIMIT = 10
+    for _ in range(3):
+        assert enc.batch(pa.array(texts), 2)[0].tolist() == want
+    other = simple8b.Encoder(model("word_bpe_49k.json"))
+    tok = Tokenizer.from_file(model("word_bpe_49k.json"))
+    assert other.batch(pa.array(texts), 2)[0].tolist() == [i for t in texts for i in tok.encode(t or "", add_special_tokens=False).ids + [2]]
 
 
 def test_sentencepiece(spark, model):
