@@ -5,7 +5,8 @@ in at most (1 - t) / (1 + t) * (a + b) shingles.  Shingles are dealt by hash to
 shingles' hashes, so a difference of D shingles changes at most D cells: the number of unlike cells is a lower bound for
 the symmetric difference.  Sets are put in bands by size, m depends on the band alone, and each set gives the keys of its
 first D + 1 cells that hold three shingles or more (pigeonhole: a partner must agree in one of them); sets with too few
-such cells give all cells.  A set near the upper edge of its band does so in the next band too.  Sets that share a key are
+such cells give all that hold two, else one, else all cells (a cell that is alike in both sets has the same count in both,
+so whichever list has more cells than can differ meets the other).  A set near the upper edge of its band does so in the next band too.  Sets that share a key are
 candidates, a 1024-bit parity sketch (again a lower bound) rejects most false ones, and the others are verified on the
 whole sets.
 
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 
@@ -75,10 +77,10 @@ def cell_keys(x: np.ndarray, num: int) -> np.ndarray:
         cell = ((x >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
         n = np.bincount(cell, minlength=m)
         use = np.flatnonzero(n >= STRONG)[: d + 1]
-        if len(use) <= d:
-            use = np.flatnonzero(n)
-            if len(use) <= d:
-                use = np.arange(m)
+        for least in range(STRONG - 1, -1, -1):  # too few: all cells of a lower count, of which a partner's are a part
+            if len(use) > d:
+                break
+            use = np.flatnonzero(n >= least)
         value = np.zeros(m, U64)
         full = np.flatnonzero(n)
         value[full] = np.bitwise_xor.reduceat(y, (np.cumsum(n) - n)[full])
@@ -90,21 +92,23 @@ def sketch_of(x: np.ndarray) -> bytes:
     return np.packbits((np.bincount((x & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
-def components(docs: DataFrame, k: int = 4, num: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs(doc_id, text)``; links at similarity >= num / 100.
+def components(docs: DataFrame, k: int = 4, num: int = 85, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs(doc_id, text)``, and its columns ``also``; links at
+    similarity >= num / 100.
 
     A text with fewer than k words is one shingle; one without words, or null, has none and links with nothing.  Rows that
     share a doc_id are separate documents.  component_id is the smallest doc_id of the linked documents (nulls last).
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    whole, docs = docs.select("doc_id", "text", *also), docs.select("doc_id", "text")
 
     def sign(batches):
         for b in C.pieces(batches):
             sets = sets_of(b.column(1), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_id(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(c) for c in also), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([sketch_of(x) if len(x) > 1 else None for x in sets], pa.binary())], ["doc_id", *also, "n_shingles", "cls", "sketch"])
 
-    signed = C.save(docs.mapInArrow(sign, "doc_id long, n_shingles long, cls long"), "op9-classes")
+    schema = StructType([*whole.drop("text").schema, *StructType.fromDDL("n_shingles long, cls long, sketch binary")])
+    signed = C.save(whole.mapInArrow(sign, schema), "op9-classes")
     total = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = C.parts_for(4 * total, spark, 16 << 20)
 
@@ -173,66 +177,90 @@ def components(docs: DataFrame, k: int = 4, num: int = 85) -> DataFrame:
     runs = met.where("more").select(F.col("a").alias("key"), F.col("b").alias("cls"))
     pairs = met.where("not more").select("a", "b").distinct()
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    wanted = C.save(met.select(F.explode(F.when(F.col("more"), F.array("b")).otherwise(F.array("a", "b"))).alias("cls")).distinct().join(classes, "cls"), "op9-wanted")
-    few = wanted.count() <= SMALL
+    # sets without a partner in any key need no sketch
+    wanted = met.select(F.explode(F.when(F.col("more"), F.array("b")).otherwise(F.array("a", "b"))).alias("cls")).distinct()
+    sketches = C.save(signed.where("sketch is not null").select("cls", F.col("n_shingles").alias("n"), "sketch").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "op9-sketches")
 
     def texts(batches):
+        """One text of each class stands for all that are equal as sets; a row of another class with the same doc_id goes."""
         for b in C.pieces(batches):
-            sets = sets_of(b.column("text"), k)
-            ok = pa.array([len(x) > 0 and class_id(x) == c for x, c in zip(sets, b.column("cls").to_pylist())], pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column("cls"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch_of(x) for x in sets], pa.binary()), b.column("text")], ["cls", "n", "sketch", "text"])
-            yield out.filter(ok)
+            found = [class_id(x) if len(x) else None for x in sets_of(b.column("text"), k)]
+            ok = pa.array([x is not None and x == c for x, c in zip(found, b.column("cls").to_pylist())], pa.bool_())
+            yield b.select(["cls", "text"]).filter(ok)
 
-    rep = wanted.withColumnRenamed("rep", "doc_id")
-    found = docs.where("doc_id is not null").join(F.broadcast(rep) if few else rep, "doc_id").select("cls", "text")
-    # rows may share a doc_id; those of the class are equal as sets, so any one of them stands for it
-    sample = C.save(found.mapInArrow(texts, "cls long, n long, sketch binary, text string").dropDuplicates(["cls"]), "op9-texts")
-    C.drop(wanted)
+    def unnamed(batches):
+        for b in C.pieces(batches):
+            found = [class_id(x) if len(x) else None for x in sets_of(b.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), b.column("text")], ["cls", "text"])
+
+    # classes of rows that all have a null doc_id are found by class
+    lost = classes.where("rep is null").select("cls")
+    nameless = None if lost.isEmpty() else C.save(docs.where("doc_id is null").select("text").mapInArrow(unnamed, "cls long, text string").join(lost, "cls", "left_semi").dropDuplicates(["cls"]), "op9-nameless")
+
+    def texts_of(near: DataFrame) -> DataFrame:
+        rep = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.where("rep is not null"), "cls").withColumnRenamed("rep", "doc_id")
+        few = rep.count() <= SMALL
+        found = docs.where("doc_id is not null").join(F.broadcast(rep) if few else rep, "doc_id").select("cls", "text")
+        found = found.mapInArrow(texts, "cls long, text string").dropDuplicates(["cls"])
+        return C.save(found if nameless is None else found.unionByName(nameless), "op9-texts")
+
+    def possible(batches):
+        for b in batches:
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            d = np.frombuffer(b"".join(b.column("sa").to_pylist()), U64) ^ np.frombuffer(b"".join(b.column("sb").to_pylist()), U64)
+            far = np.bitwise_count(d.reshape(-1, SKETCH // 64)).sum(1)
+            ok = (far <= (100 - num) * (na + nb) // (100 + num)) & (100 * np.minimum(na, nb) >= num * np.maximum(na, nb))
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
     def verify(batches):
         last, own = None, None
         for b in C.pieces(batches, "tb", C.CHUNK):
-            na, nb, la, lb = (b.column(c).to_pylist() for c in ("na", "nb", "a", "b"))
-            d = np.frombuffer(b"".join(b.column("sa").to_pylist()), U64) ^ np.frombuffer(b"".join(b.column("sb").to_pylist()), U64)
-            far = np.bitwise_count(d.reshape(-1, SKETCH // 64)).sum(1).tolist()
-            go = [i for i in range(b.num_rows) if far[i] <= apart(na[i] + nb[i], num) and 100 * min(na[i], nb[i]) >= num * max(na[i], nb[i])]
-            if not go:
-                continue
-            take = pa.array(go, pa.int32())
-            theirs, hit = sets_of(b.column("tb").take(take), k), []
-            for i, y in zip(go, theirs):
+            la, lb, hit = b.column("a").to_pylist(), b.column("b").to_pylist(), []
+            for i, y in enumerate(sets_of(b.column("tb"), k)):
                 if la[i] != last:
                     last, own = la[i], sets_of(b.column("ta").slice(i, 1), k)[0]
                 both = len(np.intersect1d(own, y, assume_unique=True))
                 if 100 * both >= num * (len(own) + len(y) - both):
                     hit.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([la[i] for i in hit], pa.int64()), pa.array([lb[i] for i in hit], pa.int64())], ["a", "b"])
+            yield b.select(["a", "b"]).take(pa.array(hit, pa.int32()))
 
     def links_of(p: DataFrame) -> DataFrame:
-        left = sample.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("text").alias("ta"))
-        right = sample.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("text").alias("tb"))
-        return C.save(p.join(right, "b").join(left, "a").mapInArrow(verify, "a long, b long"), "op9-links")
+        """Of the pairs those that link: sketches rule out most, and only texts of the others are sent."""
+        left = sketches.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        right = sketches.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        near = C.save(p.join(right, "b").where("nb is not null").join(left, "a").mapInArrow(possible, "a long, b long"), "op9-near")
+        full = texts_of(near)
+        ta, tb = (full.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        out = C.save(near.join(tb, "b").join(ta, "a").mapInArrow(verify, "a long, b long"), "op9-links")
+        C.drop(near, full)
+        return out
 
     links = links_of(pairs)
     labels = connect(links)
-    tested = pairs
+    keys_left, tested = None, pairs
     for every in (False, True):
-        at = runs.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        rows = at.join(open_keys, "key").join(sample.select("cls", "n", "sketch"), "cls")
-        new = C.save(rows.groupBy("key").applyInArrow(_crossing(num, every), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "op9-pairs")
-        if new.isEmpty():
-            continue
-        more = links_of(new)
-        tested = tested.unionByName(new)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = connect(links)
+        rows = runs if keys_left is None else runs.join(keys_left, "key")
+        rows = rows.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(sketches, "cls")
+        crossed = C.save(rows.groupBy("key").applyInArrow(_crossing(num, every), "a long, b long, cut boolean"), "op9-crossed")
+        new = C.save(crossed.where("not cut").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "op9-pairs")
+        # keys of which a member had more possible partners than were named
+        keys_left = C.save(crossed.where("cut").select(F.col("a").alias("key")).distinct(), "op9-left")
+        C.drop(crossed)
+        if not new.isEmpty():
+            more = links_of(new)
+            tested = tested.unionByName(new)
+            if not more.isEmpty():
+                links = C.save(links.unionByName(more), "op9-links")
+                labels = connect(links)
+        if keys_left.isEmpty():
+            break
     named = classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     ids = C.save(named.join(least, "label").select("cls", "component_id"), "op9-components")
-    C.drop(met, sample)
-    return signed.join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = C.save(signed.join(ids, "cls", "left").select("doc_id", *also, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "op9-result")
+    C.drop(met, signed, sketches, ids, keys_left, new, links, labels, *([] if nameless is None else [nameless]))
+    C.release(spark)
+    return out
 
 
 def _crossing(num: int, every: bool):
@@ -241,23 +269,32 @@ def _crossing(num: int, every: bool):
 
 def _cross(t: pa.Table, num: int, every: bool) -> pa.Table:
     """Pairs of one key's members in different components that the sketches don't rule out; for each member the nearest
-    ones, or every one."""
+    ones, or every one.  Where there were more, a last row has the key and ``cut``."""
     cls, label, n = (t.column(c).to_numpy() for c in ("cls", "label", "n"))
-    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(-1, SKETCH // 64)
-    size = {x: c for x, c in zip(*np.unique(label, return_counts=True))}
-    big = max(size, key=lambda x: (size[x], -x))
-    a, b = [], []
+    o = np.argsort(n, kind="stable")
+    cls, label, n = cls[o], label[o], n[o]
+    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(-1, SKETCH // 64)[o]
+    names, count = np.unique(label, return_counts=True)
+    big = names[np.argmax(count)]
+    a, b, cut = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
     for i in np.flatnonzero(label != big).tolist():
-        j = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
+        # members are in the order of their sizes, so those of a possible size stand together
+        lo, hi = np.searchsorted(n, [-(-num * n[i] // 100), 100 * n[i] // num + 1])
+        j = lo + np.flatnonzero(label[lo:hi] != label[i])
+        if not len(j):
+            continue
         far = np.bitwise_count(sk[j] ^ sk[i]).sum(1)
         ok = far <= (100 - num) * (n[j] + n[i]) // (100 + num)
         j, far = j[ok], far[ok]
         if not every and len(j) > NEAREST:
-            j = j[np.lexsort((cls[j], far))[:NEAREST]]
+            j, cut = j[np.lexsort((cls[j], far))[:NEAREST]], True
         a.append(np.minimum(cls[j], cls[i]))
         b.append(np.maximum(cls[j], cls[i]))
-    p = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
+    p = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    p = np.concatenate([p, [[t.column("key")[0].as_py(), 0]]]) if cut else p
+    flag = np.zeros(len(p), bool)
+    flag[len(p) - cut :] = True
+    return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64()), "cut": pa.array(flag)})
 
 
 def connect(links: DataFrame) -> DataFrame:

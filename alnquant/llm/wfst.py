@@ -63,7 +63,7 @@ def _fields(b: bytes):
 
 
 class Transducer:
-    KEPT = 1_200_000
+    KEPT = 400_000
 
     def __init__(self, model: bytes):
         top = list(_fields(model))

@@ -5,8 +5,9 @@ K-word hashes the least is kept, so two texts that share W + K - 1 = 13 words sh
 in both.  Kept hashes of documents are looked up among those of the benchmark, and each hit is extended word by word to
 the longest common run; runs of 13 words or more are hits.  An item of fewer words is one window, looked up whole.
 
-The benchmark is handled in blocks of a fixed size: a block is loaded on each executor only after its bytes were counted,
-and a larger benchmark means more blocks, not a larger one.
+The benchmark is handled in blocks: a block is broadcast only after its bytes were counted, one at a time, and is destroyed
+when all documents have met it.  A larger benchmark means more blocks, not a larger one: what the earlier blocks hit
+(runs of words and items) then goes along with each document.
 """
 
 from __future__ import annotations
@@ -118,62 +119,105 @@ class Index:
 
 
 _INDEX: dict = {}
+MINE = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+STATE = "__runs array<long>, __items array<string>"
+
+
+def _index(key: str, block) -> Index:
+    """A worker keeps the index of one block, the last one that it met."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = Index(*block.value)
+    return _INDEX[key]
+
+
+def _blocks(bench: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """Parts of the benchmark that each have at most block_bytes as they are loaded (an item beyond that is one by itself)."""
+    size = bench.withColumn("__size", 2 * (F.octet_length("text") + 32))
+    total, count = size.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-total // block_bytes))
+    while n > 1:
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+        most = size.distinct().groupBy(part).agg(F.sum("__size").alias("b"), F.count("*").alias("k")).where("k > 1").agg(F.max("b")).first()[0]
+        if not most or most <= block_bytes or n > 64 * count:
+            break
+        n *= 2
+    bench = bench.distinct()
+    return [bench if n == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs(doc_id, text)``; other columns
-    of ``docs`` are kept, and result columns win over columns of the same name.
+    of ``docs`` are kept, then the text too, and result columns win over columns of the same name.
 
     A null text has no words.  Items without words, and null items, never occur; an item_id that stands for several texts
     counts once.  Rows with equal doc_id are judged apart.  An empty benchmark leaves every document clean.
     """
+    from pyspark.sql.types import StructType
+
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // block_bytes))
-    mine = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    mine = StructType.fromDDL(MINE).names
     carried = [c for c in docs.columns if c not in mine]
     docs = docs.select(*carried)
-    load = []
-    for i in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        rows = part.collect()  # at most about block_bytes, by the count above
-        load.append((uuid.uuid4().hex, spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))))
-
-    def judge(batches):
-        for b in C.pieces(batches):
-            buf, offs = C.text_buffer(b.column("text"))
-            _, _, h, first = C.words(buf, offs, C.ALNUM_WORD)
-            n = b.num_rows
-            hit = np.zeros(len(h) + 1, np.int64)
-            found: dict[int, set[str]] = {}
-            for key, blk in load:
-                ix = _INDEX.get(key)
-                if ix is None:
-                    while len(_INDEX) > 1:
-                        _INDEX.pop(next(iter(_INDEX)))
-                    ix = _INDEX.setdefault(key, Index(*blk.value))
+    keep = carried if set(docs.columns) - {"doc_id", "text"} else ["doc_id"]
+
+    def meet(key, block, known: bool, last: bool):
+        def judge(batches):
+            for b in C.pieces(batches):
+                ix = _index(key, block)
+                buf, offs = C.text_buffer(b.column("text"))
+                _, _, h, first = C.words(buf, offs, C.ALNUM_WORD)
                 row, a, e, item = ix.hits(h, first)
-                np.add.at(hit, a, 1)
-                np.add.at(hit, e, -1)
+                found: dict[int, set[str]] = {}
+                if known:
+                    for r, (runs, items) in enumerate(zip(b.column("__runs").to_pylist(), b.column("__items").to_pylist())):
+                        if runs:
+                            more = np.array(runs, np.int64).reshape(-1, 2) + first[r]
+                            a, e = np.concatenate([a, more[:, 0]]), np.concatenate([e, more[:, 1]])
+                            found[r] = set(items)
                 for r, i in zip(row.tolist(), item.tolist()):
                     if ix.ids[i] is not None:
                         found.setdefault(r, set()).add(ix.ids[i])
-            covered = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
-            n_words, n_hit = np.diff(first), covered[first[1:]] - covered[first[:-1]]
-            none = hashlib.sha256(b"").hexdigest()
-            sha = [hashlib.sha256(",".join(sorted(found[r])).encode()).hexdigest() if r in found else none for r in range(n)]
-            cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(found.get(r, ())) for r in range(n)], pa.int64()), pa.array(sha), pa.array((n_hit > 0) & (20 * n_hit >= n_words))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out_cols), *cols], [*out_cols, *mine])
-
-    out_cols = [c for c in carried if c != "text"] if "text" not in _wanted(docs) else carried
-    from pyspark.sql.types import StructType
-
-    kept = StructType([f for f in docs.schema if f.name in out_cols])
-    schema = StructType([*kept, *StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")])
-    return docs.mapInArrow(judge, schema)
-
-
-def _wanted(docs: DataFrame) -> list[str]:
-    """The text goes on only where more than (doc_id, text) was handed in: a caller that filters documents needs it."""
-    return docs.columns if set(docs.columns) - {"doc_id", "text"} else []
+                hit = np.bincount(a, minlength=len(h) + 1) - np.bincount(e, minlength=len(h) + 1)
+                cover = np.cumsum(hit)[:-1] > 0
+                yield final(b, first, cover, found) if last else state(b, first, cover, found)
+
+        return judge
+
+    def state(b, first, cover, found):
+        """Hit words as runs, counted from the document's first word, and the items so far."""
+        begin, end = cover.copy(), cover.copy()
+        begin[1:] &= ~cover[:-1]
+        end[:-1] &= ~cover[1:]
+        own = first[:-1][np.diff(first) > 0]
+        begin[own], end[own[own > 0] - 1] = cover[own], cover[own[own > 0] - 1]
+        a, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        cut = np.searchsorted(a, first)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(cut))
+        runs = np.stack([a - first[row], e - first[row]], 1).ravel()
+        runs = pa.ListArray.from_arrays(pa.array(2 * cut, pa.int32()), pa.array(runs, pa.int64()))
+        items = pa.array([sorted(found.get(r, ())) for r in range(b.num_rows)], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), runs, items], [*carried, "__runs", "__items"])
+
+    def final(b, first, cover, found):
+        covered = np.concatenate([[0], np.cumsum(cover)])
+        n_words, n_hit = np.diff(first), covered[first[1:]] - covered[first[:-1]]
+        sha = [hashlib.sha256(",".join(sorted(found.get(r, ()))).encode()).hexdigest() for r in range(b.num_rows)]
+        cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(found.get(r, ())) for r in range(b.num_rows)], pa.int64()), pa.array(sha), pa.array((n_hit > 0) & (20 * n_hit >= n_words))]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, *mine])
+
+    blocks, at, was = _blocks(bench, block_bytes), docs, None
+    for i, part in enumerate(blocks):
+        last = i == len(blocks) - 1
+        rows = part.collect()  # at most block_bytes, by the count above
+        block = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        schema = StructType([*docs.select(*(keep if last else carried)).schema, *StructType.fromDDL(MINE if last else STATE)])
+        at = at.mapInArrow(meet(uuid.uuid4().hex, block, i > 0, last), schema)
+        if len(blocks) > 1:
+            at = C.save(at, "op10-met")
+            block.destroy()
+            if was is not None:
+                C.drop(was)
+            was = at
+    return at

@@ -111,7 +111,25 @@ def test_jaccard_family_without_its_centre(spark):
     assert parity.components(df.where("false")).count() == 0
 
 
-def test_keys_of_linked_sets_meet():
+def test_jaccard_null_ids_link(spark):
+    """A row without a doc_id links two others that are too far apart to link themselves."""
+    w = [f"w{i}" for i in range(200)]
+    far = [*w[:5], "a1", *w[6:100], "a2", *w[101:190], "a3", *w[191:]]
+    mid = [*w[:5], "a1", *w[6:100], "a2", *w[101:]]
+    docs = [(1, " ".join(w)), (None, " ".join(mid)), (3, " ".join([*far[:40], "a4", *far[41:]])), (None, "quite alone here and now"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for num in (85, 90):
+        sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for _, t in docs[:3]]
+        link = [[100 * len(x & y) >= num * len(x | y) for y in sets] for x in sets]
+        got = sorted((tuple(r) for r in parity.components(df, 4, num).select("doc_id", "component_id", "n_shingles").collect()), key=str)
+        same = link[0][1] and link[1][2]
+        assert (1, 1, 197) in got and (3, 1 if same or link[0][2] else 3, 197) in got and (None, 1, 197) in got
+        assert (None, None, 2) in got and (None, None, 0) in got
+    assert link[0][1] and not link[0][2]
+
+
+@pytest.mark.parametrize("num", [85, 80])
+def test_keys_of_linked_sets_meet(num):
     rng = np.random.default_rng(3)
     for n in (6, 7, 12, 20, 50, 200, 1000):
         for _ in range(60):
@@ -119,5 +137,5 @@ def test_keys_of_linked_sets_meet():
             cut = rng.integers(0, len(a) * 15 // 100 + 1)
             b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, rng.integers(0, len(a) * 15 // 100 + 1), dtype=np.int64).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                assert len(np.intersect1d(parity.cell_keys(a, 85), parity.cell_keys(b, 85)))
+            if 100 * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                assert len(np.intersect1d(parity.cell_keys(a, num), parity.cell_keys(b, num)))

@@ -101,7 +101,7 @@ def brute_scan(docs, bench):
 
 
 @pytest.mark.parametrize("blocks", [32 << 20, 600])
-def test_decontamination(spark, blocks):
+def test_decontamination(spark, monkeypatch, blocks):
     rng = random.Random(3)
     for vocab in (3, 40):
         v = [f"w{i}" for i in range(vocab)] + ["É"]
@@ -116,6 +116,13 @@ def test_decontamination(spark, blocks):
         bf = spark.createDataFrame(bench, "item_id long, text string")
         got = winnow.scan(df, bf, block_bytes=blocks)
         assert sorted(tuple(r) for r in got.collect()) == brute_scan(docs, bench)
+    if blocks == 600:  # many blocks, of which one at a time is broadcast
+        live, most, make = [], [], spark.sparkContext.broadcast
+        monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (live.append(make(x)), most.append(sum(b._jbroadcast.isValid() for b in live)))[0] or live[-1])
+        assert len(winnow._blocks(bf.selectExpr("cast(item_id as string) item_id", "coalesce(text, '') text"), blocks)) >= 5
+        winnow.scan(df, bf, block_bytes=blocks).count()
+        monkeypatch.undo()
+        assert len(live) >= 5 and max(most) == 1
     assert winnow.scan(df, bf.where("false")).where("contaminated or n_hit > 0").count() == 0
     extra = winnow.scan(df.selectExpr("doc_id", "text", "'x' n_hit", "'en' lang"), bf)
     assert extra.columns[:3] == ["doc_id", "text", "lang"] and dict(extra.dtypes)["n_hit"] == "bigint"
