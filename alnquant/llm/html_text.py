@@ -1,6 +1,6 @@
 """Main text of web pages with site templates removed (operator 7).
 
-A page is parsed to its element tree.  Every element's subtree is hashed (tag, class and text), the hashes are counted per
+A page is parsed to its element tree.  Every element's subtree is hashed (tag, class, texts and the hashes of its children), the hashes are counted per
 host in Spark, and subtrees that recur on MANY pages of the host with different main texts are its template and go.  Copies
 of one page count once, so a copied article is no template; paragraphs and headings inside an ``article`` or ``main``
 element are never taken for one.  Elements whose tag, class, id or role says that they are menus, headers, footers,
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\
 _PART = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "math", "object", "canvas", "video", "audio", "select"}
+_ENDS = {x: re.compile(f"</{x}", re.I | re.A) for x in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 DROP = {"head", "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "label"}
 BLOCK = {
@@ -66,18 +68,23 @@ def _hash(s: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "name", "drop", "root", "first", "up", "digest")
+    """``drop``: 2 where tag or comment marks say that it is no main text, 1 where another name does; ``start``: an element
+    that only a 2 above it hides; ``root``: it is, or lies in, an article or main element; ``digest``: hash of its subtree."""
 
-    def __init__(self, tag, name, drop, root, first, up):
-        self.tag, self.name, self.drop, self.root, self.first, self.up, self.digest = tag, name, drop, root, first, up, None
+    __slots__ = ("tag", "name", "drop", "start", "root", "up", "digest", "items")
 
+    def __init__(self, tag, name, drop, start, root, up):
+        self.tag, self.name, self.drop, self.start, self.root, self.up, self.digest, self.items = tag, name, drop, start, root, up, None, []
 
-def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
-    """(text, innermost element) of each block in page order, and all elements whose subtrees are hashed."""
-    stack, blocks, done = [Element("html", "", False, False, 0, None)], [], []
+
+def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element], list[Element]]:
+    """(text, innermost element) of each block in page order, all elements whose subtrees are hashed, and all elements with
+    parents before children.  Time and memory grow with the page, whatever is left unclosed in it."""
+    stack, blocks, done = [Element("html", "", 0, True, False, None)], [], []
+    made, opened = [stack[0]], Counter()
     text: list[str] = []
     at, n = 0, len(page)
-    low = None
+    tags_end = page.rfind(">")
 
     def flush():
         if text:
@@ -85,15 +92,24 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
             text.clear()
             if t:
                 blocks.append((t, stack[-1]))
+                stack[-1].items.append(_hash(t))
 
     def pop():
         flush()
         e = stack.pop()
+        opened[e.tag] -= 1
+        digest = _hash(f"{e.tag}{e.name}\0" + "\0".join(map(str, e.items)))
+        e.items = None
+        stack[-1].items.append(digest)
         if e.tag not in ("html", "body", "head") and e.tag not in ROOTS:
-            e.digest = _hash(f"{e.tag}{e.name}\0" + "\0".join(t for t, _ in blocks[e.first :]))
+            e.digest = digest
             done.append(e)
 
     while at < n:
+        if at > tags_end:  # no tag can end any more
+            end = page.find("<!--", at)
+            text.append(page[at:] if end < 0 else page[at:end])
+            break
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = m[2] or m[5]
@@ -107,9 +123,9 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
             attrs = m[3] if m[2] else m[6]
             if tag in RAW:
                 if not attrs.endswith("/"):
-                    low = page.lower() if low is None or len(low) != n else low
-                    end = low.find(f"</{tag}", at)
-                    at = n if end < 0 else max(page.find(">", end) + 1, end + 2) if page.find(">", end) >= 0 else n
+                    end = _ENDS[tag].search(page, at)
+                    at = page.find(">", end.end()) + 1 if end else 0
+                    at = at or n
                 continue
             if tag == "br":
                 text.append(" ")
@@ -124,7 +140,7 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
                     pop()
             # an open paragraph ends where a block begins; items end where the next one begins
             ends = {"p"} | CLOSES.get(tag, set())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                 if stack[i].tag in ends:
                     while len(stack) > i:
                         pop()
@@ -134,46 +150,50 @@ def parse(page: str) -> tuple[list[tuple[str, Element]], list[Element]]:
             up = stack[-1]
             marks, name = _marks(attrs) if attrs.strip() else (set(), "")
             root = tag in ROOTS and not marks & COMMENTS
-            if tag in ("html", "body") or root:
-                drop = up.drop == 2
-            else:
-                drop = up.drop or (2 if tag in DROP or marks & COMMENTS else 1 if marks else 0)
-            if tag == "article" and marks & COMMENTS:
-                drop = 2
-            stack.append(Element(tag, name, drop, up.root or root, len(blocks), up))
+            strong = tag in DROP or bool(marks & COMMENTS)
+            start = tag == "body" or root
+            drop = 0 if start else 2 if strong else 1 if marks else 0
+            stack.append(Element(tag, name, drop, start, up.root or root, up))
+            made.append(stack[-1])
+            opened[tag] += 1
         else:
             if tag == "br":
                 text.append(" ")
             if tag not in BLOCK:
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        pop()
-                    break
-            else:
+            if not opened[tag]:
                 flush()
+                continue
+            while stack[-1].tag != tag:
+                pop()
+            pop()
     while len(stack) > 1:
         pop()
     flush()
-    return blocks, done
+    return blocks, done, made
 
 
 def _candidate(e: Element) -> bool:
     return not (e.root and e.tag in TEXT_BLOCKS)
 
 
-def main_text(blocks, template=frozenset()) -> str:
-    gone: dict[Element, bool] = {}
-
-    def hidden(e):
-        if e is None:
-            return False
-        if e not in gone:
-            gone[e] = bool(e.drop) or (e.digest in template and _candidate(e)) or hidden(e.up)
-        return gone[e]
-
-    left = [(t, e.root) for t, e in blocks if not hidden(e)]
+def main_text(blocks, made, template=frozenset()) -> str:
+    """What is left of the blocks.  A name alone does not hide an element with more than half of the page's text."""
+    size = dict.fromkeys(made, 0)
+    for t, e in blocks:
+        size[e] += len(t)
+    total = sum(size.values())
+    for e in reversed(made):
+        if e.up is not None:
+            size[e.up] += size[e]
+    state: dict[Element, int] = {}
+    for e in made:
+        above = state[e.up] if e.up is not None else 0
+        own = e.drop if e.drop == 2 or 2 * size[e] <= total else 0
+        if e.digest in template and _candidate(e):
+            own = 2
+        state[e] = max(own, above if above == 2 or not e.start else 0)
+    left = [(t, e.root) for t, e in blocks if not state[e]]
     rooted = any(r for _, r in left)
     return " ".join(t for t, r in left if r or not rooted)
 
@@ -195,8 +215,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in C.pieces(batches, "html"):
             rows = set()
             for host, page in zip(b.column("__host").to_pylist(), b.column("html").to_pylist()):
-                blocks, done = parse(page)
-                body = _hash(main_text(blocks))
+                blocks, done, made = parse(page)
+                body = _hash(main_text(blocks, made))
                 rows |= {(host, e.digest, body) for e in done if _candidate(e)}
             if rows:
                 host, digest, body = zip(*rows)
@@ -217,7 +237,8 @@ def extract(pages: DataFrame) -> DataFrame:
             for host, page, t in zip(b.column("__host").to_pylist(), b.column("html").to_pylist(), b.column("__template").to_pylist()):
                 if host != last:
                     last, template = host, frozenset(t or ())
-                out.append(main_text(parse(page)[0], template))
+                blocks, _, made = parse(page)
+                out.append(main_text(blocks, made, template))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*carried, "text", "n_chars"])
 
     return joined.mapInArrow(cut, schema)
