@@ -10,7 +10,7 @@ SPECIAL = ("total_reads", "filtered_reads", "category", "unannotated")
 #: metrics that can be collated (fixed values)
 COLUMNS = (
     "uniq_raw", "uniq_lnorm", "uniq_scaled", "uniq_rpkm", "combined_raw", "combined_lnorm", "combined_scaled", "combined_rpkm",
-    "uniq_raw_ss", "uniq_lnorm_ss", "uniq_scaled_ss", "combined_raw_ss", "combined_lnorm_ss", "combined_scaled_ss",
+    "uniq_depth", "uniq_depth_covered", "uniq_horizontal", "combined_depth", "combined_depth_covered", "combined_horizontal",
 )
 
 

@@ -30,6 +30,12 @@ def annotate(counts: DataFrame, annotations: DataFrame, on: list[str]) -> DataFr
     return counts.join(annotations, on)
 
 
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows with the columns of a frame of one row.  Nothing comes to the driver while the plan is made, and an exchange
+    that both sides have is run once."""
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def scaling_factors(annotated: DataFrame, exact: bool = False) -> DataFrame:
     """Per category, each region once."""
     f = annotated.groupBy("category").agg(*_sum_pair(exact))
@@ -58,14 +64,14 @@ def feature_counts(annotated: DataFrame, scaling: Scaling = Scaling.PER_REGION,
 def category_rows(annotated: DataFrame, counts: DataFrame, exact: bool = False) -> DataFrame:
     """One row for each category, each region once, scaled by the factor over all annotated regions."""
     out = annotated.groupBy("category").agg(*_sum_pair(exact))
-    (t,) = total_factors(counts, exact).collect()
-    return out.select("category", *[c for p in PAIR for c in (f"{p}_raw", f"{p}_lnorm", (F.col(f"{p}_lnorm") * F.lit(t[f"{p}_factor"])).alias(f"{p}_scaled"))])
+    out = beside(out, total_factors(counts, exact))
+    return out.select("category", *[c for p in PAIR for c in (f"{p}_raw", f"{p}_lnorm", (F.col(f"{p}_lnorm") * F.col(f"{p}_factor")).alias(f"{p}_scaled"))])
 
 
 def gene_table(counts: DataFrame, exact: bool = False) -> DataFrame:
     """Counts of each gene with the factor over all genes."""
-    (t,) = total_factors(counts, exact).collect()
-    return counts.withColumns({f"{p}_scaled": F.col(f"{p}_lnorm") * F.lit(t[f"{p}_factor"]) for p in PAIR})
+    out = beside(counts, total_factors(counts, exact))
+    return out.withColumns({f"{p}_scaled": F.col(f"{p}_lnorm") * F.col(f"{p}_factor") for p in PAIR}).drop(*[f"{p}_factor" for p in PAIR])
 
 
 def rpkm(table: DataFrame, reads: int) -> DataFrame:
@@ -94,7 +100,8 @@ def gene_group_counts(counts: DataFrame, ref: str, groups: DataFrame) -> tuple[D
     """Counts by the hexadecimal group after the last point of the reference name, joined to the groups' annotations after
     they were summed; group 0 is unannotated."""
     key = F.conv(F.substring_index(ref, ".", -1), 16, 10).cast("bigint")
-    g = counts.withColumn("id", key)
+    metrics = [c for c in counts.columns if c.startswith(("uniq_", "combined_", "ambig_"))]
+    g = counts.groupBy(key.alias("id")).agg(*[F.sum(c).alias(c) for c in metrics])
     return g.where("id <> 0").join(groups, "id"), g.where("id = 0")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def formatted(table: DataFrame, digits: int = 5) -> DataFrame:
-    """Doubles as text with a fixed number of digits; for sinks only."""
-    return table.select(*[F.format_string(f"%.{digits}f", c).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes])
+    """Doubles as text with a fixed number of digits; for sinks only.  Nulls stay null."""
+    return table.select(*[F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", c)).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes])
 
 
 def write_table(table: DataFrame, path: str, key: str = "feature", by: str | None = None) -> None:

@@ -31,10 +31,12 @@ def library_conflicts(grouped: DataFrame) -> DataFrame:
 
 
 def increment(paired_end_count: int = 1, unmarked_orphans: bool = False, policy: RgPolicy = RgPolicy.INFER) -> Column:
-    """What a read adds: 1 for a single-end library, half of paired_end_count for a paired one."""
+    """What a read adds: 1 for a single-end library, half of paired_end_count for a paired one.  Under STRICT a read whose
+    alignments have no read group, or several, is an error."""
     half = F.lit(paired_end_count / 2.0)
     known = F.when(F.col("rg_min") == 1, F.lit(1.0)).when(F.col("rg_min") == 2, half)
     if policy is RgPolicy.STRICT:
+        known = F.when(F.col("rg").isNotNull() & (F.col("rg_min") == F.col("rg_max")), known)  # of one read, all the same
         return known.otherwise(F.raise_error(F.lit("a read has no usable read group")).cast("double"))
     return known.otherwise(F.when(sam.has("paired"), half).otherwise(half if unmarked_orphans else F.lit(1.0)))
 

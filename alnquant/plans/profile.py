@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ProfileConfig, RunMode
 from ..operators import align, counts, features, overlap, weight
+from ..sources import bam, sam
+from ..sources import counts as count_tables
 
 
 def weighted_alignments(aln: DataFrame, cfg: ProfileConfig = ProfileConfig(), regions: DataFrame | None = None, ref: str = "rid") -> DataFrame:
-    """Alignments that pass, are on target, and count in the mode, with their contribution: one shuffle by read."""
+    """Alignments that pass, are on target, and count in the mode, with their contribution: one shuffle by read.
+
+    In region modes ``hits`` lists the regions that each alignment overlaps (null: none), from one interval join."""
     rows = align.passed(align.derive(aln), cfg.min_seqlen, cfg.min_identity)
     hit = None
     if cfg.mode.overlap_required:
         rows = align.on_target(rows, regions, ref)
-        ids = overlap.overlap(rows.select("aln_id", ref, "q_start", "q_end"), regions, cfg.overlap_rule, ref, clip=False)
-        rows = rows.join(ids.select("aln_id").distinct().withColumn("__hit", F.lit(True)), "aln_id", "left")
-        hit = F.col("__hit").isNotNull()
+        pairs = overlap.overlap(rows.select("aln_id", ref, "q_start", "q_end"), regions, cfg.overlap_rule, ref, clip=False)
+        hits = pairs.groupBy("aln_id").agg(F.collect_list(F.struct("start_pos", "end_pos")).alias("hits"))
+        rows = rows.join(hits, "aln_id", "left")
+        hit = F.col("hits").isNotNull()
     g = weight.groups(rows, hit, cfg.ambiguous_by)
-    return weight.weighted(g, cfg.ambiguity, cfg.paired_end_count, cfg.unmarked_orphans, cfg.rg_policy).drop("__hit")
+    return weight.weighted(g, cfg.ambiguity, cfg.paired_end_count, cfg.unmarked_orphans, cfg.rg_policy)
 
 
 def gene_counts(aln: DataFrame, cfg: ProfileConfig = ProfileConfig()) -> DataFrame:
@@ -33,7 +38,7 @@ def region_counts(aln: DataFrame, regions: DataFrame, cfg: ProfileConfig) -> Dat
     """Counts of each region; intervals that occur several times are hit once."""
     spans = regions.select("seqid", "start_pos", "end_pos").distinct()
     w = weighted_alignments(aln, cfg, spans)
-    hits = overlap.overlap(w, spans, cfg.overlap_rule, clip=False)
+    hits = w.select("rid", "contrib", "ambiguous", F.inline("hits"))
     return counts.normalise(counts.region_counts(hits, cfg.exact_sums), counts.region_length())
 
 
@@ -50,7 +55,14 @@ def report(aln: DataFrame, annotations: DataFrame, cfg: ProfileConfig, regions:
     """Report rows of every category: special rows, then features by name, unseen ones as zeros.
 
     Columns: category, rank, feature, and the metrics of the configuration."""
-    cached = (gene_counts(aln, cfg) if cfg.mode is RunMode.GENE else region_counts(aln, regions, cfg)).cache()
+    counted = gene_counts(aln, cfg) if cfg.mode is RunMode.GENE else region_counts(aln, regions, cfg)
+    stats = align.read_stats(align.derive(aln), align.filter_status(cfg.min_seqlen, cfg.min_identity)).agg(F.sum("aligned_reads").alias("t"), F.sum("filtered_reads").alias("f")).first()
+    return count_report(counted, annotations, cfg, (stats["t"] or 0, stats["f"] or 0))
+
+
+def count_report(counted: DataFrame, annotations: DataFrame, cfg: ProfileConfig, reads: tuple[int, int] | None = None) -> DataFrame:
+    """The same from counts; external ones come without numbers of reads, so their rows and RPKM are left out."""
+    cached = counted.cache()
     on = ["rid"] if cfg.mode is RunMode.GENE else ["rid", "start_pos", "end_pos"]
     ann = features.annotate(cached, annotations, on)
     feats = features.feature_counts(ann, cfg.scaling, cfg.exact_sums)
@@ -58,11 +70,10 @@ def report(aln: DataFrame, annotations: DataFrame, cfg: ProfileConfig, regions:
         feats = features.with_unseen(feats, annotations.select("category", F.explode("features").alias("feature")))
     keyed = cached.join(annotations.select(*on).distinct(), on, "left_semi")
     cats = features.category_rows(ann, keyed, cfg.exact_sums)
-    stats = align.read_stats(aln, align.filter_status(cfg.min_seqlen, cfg.min_identity)).agg(F.sum("aligned_reads").alias("t"), F.sum("filtered_reads").alias("f")).first()
     metrics = [c for c in feats.columns if c not in ("category", "feature")]
     rows = [
         cats.select("category", F.lit(rank).alias("rank"), F.lit(name).alias("feature"), *[F.lit(float(n)).alias(m) for m in metrics])
-        for rank, name, n in ((1, "total_reads", stats["t"] or 0), (2, "filtered_reads", stats["f"] or 0))
+        for rank, name, n in zip((1, 2), ("total_reads", "filtered_reads"), reads or ())
     ]
     rows.append(cats.select("category", F.lit(3).alias("rank"), F.lit("category").alias("feature"), *metrics))
     rows.append(feats.select("category", F.lit(4).alias("rank"), "feature", *metrics))
@@ -72,6 +83,28 @@ def report(aln: DataFrame, annotations: DataFrame, cfg: ProfileConfig, regions:
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    if "rpkm" in cfg.restrict_metrics:
-        out = features.rpkm(out, max(1, stats["f"] or 0))
+    if "rpkm" in cfg.restrict_metrics and reads:
+        out = features.rpkm(out, max(1, reads[1]))
     return features.restrict(out, cfg.restrict_metrics)
+
+
+def read_alignments(spark: SparkSession, cfg: ProfileConfig) -> DataFrame:
+    """Alignments of the configured SAM or BAM files, as a profile takes them: references go by their names, and each
+    alignment has an id and its reference's length."""
+    if cfg.inputs.get("sam"):
+        paths = list(cfg.inputs["sam"])
+        aln = sam.with_references(sam.read_sam(spark, paths), sam.read_references(spark, paths))
+    else:
+        aln = bam.read_bam(spark, ",".join(cfg.inputs["bam"]))
+    return aln.withColumns({"rid": F.col("refname"), "aln_id": F.monotonically_increasing_id()})
+
+
+def report_of_files(spark: SparkSession, cfg: ProfileConfig, annotations: DataFrame) -> DataFrame:
+    """From alignment files or external gene counts to the report.  ``annotations`` are those of a reader: seqid, category,
+    features, and in region modes start_pos, end_pos, by which reads are counted."""
+    named = annotations.withColumnRenamed("seqid", "rid")
+    if cfg.inputs.get("gene_counts"):
+        counted = count_tables.read_gene_counts(spark, list(cfg.inputs["gene_counts"])).withColumnRenamed("gene", "rid")
+        return count_report(counted, named, cfg)
+    regions = annotations.select("seqid", "start_pos", "end_pos").distinct() if cfg.mode.overlap_required else None
+    return report(read_alignments(spark, cfg), named, cfg, regions)

@@ -155,3 +155,60 @@ def test_header_after_many_comments(spark, tmp_path):
     path.write_text("## note\n" * 300)
     with pytest.raises(ValueError):
         A.read_header_table(spark, str(path))
+
+
+def _sam_file(tmp_path):
+    line = "{}\t{}\t{}\t{}\t60\t50M\t*\t0\t0\t*\t*\tNM:i:0"
+    reads = [("a", 0, "g1", 1), ("b", 0, "g1", 11), ("b", 256, "g2", 1), ("c", 4, "*", 0), ("d", 16, "g2", 101), ("e", 0, "g3", 5)]
+    text = "@SQ\tSN:g1\tLN:100\n@SQ\tSN:g2\tLN:200\n@SQ\tSN:g3\tLN:50\n" + "".join(line.format(*r) + "\n" for r in reads)
+    return write(tmp_path / "reads.sam", text)
+
+
+def test_report_of_sam_file(spark, tmp_path):
+    from alnquant.config import ProfileConfig, RunMode
+    from alnquant.operators import report as sink
+    from alnquant.plans import profile
+
+    path = _sam_file(tmp_path)
+    ann = spark.createDataFrame([("g1", "KO", ["k1", "k2"]), ("g2", "KO", ["k1"]), ("g9", "KO", ["k9"])], "seqid string, category string, features array<string>")
+    out = profile.report_of_files(spark, ProfileConfig(inputs={"sam": (path,)}), ann)
+    rows = {r["feature"]: r for r in out.collect()}
+    # read a: 1 on g1; b: 1/2 each on g1 and g2; d: 1 on g2; e has no annotation
+    assert (rows["k1"]["uniq_raw"], rows["k1"]["combined_raw"]) == (2.0, 3.0)
+    assert (rows["k2"]["uniq_raw"], rows["k2"]["combined_raw"], rows["k9"]["combined_raw"]) == (1.0, 1.5, 0.0)
+    assert abs(rows["k1"]["combined_lnorm"] - (1.5 / 100 + 1.5 / 200)) < 1e-12
+    assert (rows["total_reads"]["uniq_raw"], rows["filtered_reads"]["uniq_raw"], rows["category"]["combined_raw"]) == (4.0, 4.0, 3.0)
+    regions = ann.where("seqid <> 'g9'").selectExpr("*", "1 start_pos", "60 end_pos")
+    out = profile.report_of_files(spark, ProfileConfig(mode=RunMode.SMALL_GENOME, inputs={"sam": (path,)}), regions)
+    rows = {r["feature"]: r for r in out.collect()}
+    # d lies behind g2's region
+    assert (rows["k1"]["uniq_raw"], rows["k1"]["combined_raw"], rows["k2"]["combined_raw"]) == (1.0, 2.0, 1.5)
+    assert rows["unannotated"]["uniq_lnorm"] is None
+    sink.write_table(out.drop("category"), str(tmp_path / "out"))
+    lines = [r["value"].split("\t") for r in spark.read.text(str(tmp_path / "out")).collect()]
+    head = next(x for x in lines if x[0] == "feature")
+    assert next(x for x in lines if x[0] == "unannotated")[head.index("uniq_lnorm")] == "NA"
+
+
+def test_report_of_external_counts(spark, tmp_path):
+    from alnquant.config import ProfileConfig
+    from alnquant.plans import profile
+
+    p = write(tmp_path / "genes.txt", "gene\tuniq_raw\tuniq_lnorm\tcombined_raw\tcombined_lnorm\ng1\t2\t0.2\t3\t0.3\ng2\t1\t0.1\t1\t0.1\n")
+    ann = spark.createDataFrame([("g1", "KO", ["k1"]), ("g2", "KO", ["k1", "k2"])], "seqid string, category string, features array<string>")
+    rows = {r["feature"]: r for r in profile.report_of_files(spark, ProfileConfig(inputs={"gene_counts": (p,)}), ann).collect()}
+    assert (rows["k1"]["uniq_raw"], rows["k1"]["combined_raw"], rows["k2"]["combined_raw"]) == (3.0, 4.0, 1.0)
+    assert abs(rows["k1"]["combined_scaled"] - 4.0) < 1e-9 and "total_reads" not in rows
+
+
+def test_strict_read_groups(spark):
+    from alnquant.config import RgPolicy
+    from alnquant.operators import weight
+
+    ddl = "stream_id string, qname string, flag int, mapq int, rg int"
+    for groups in ([1, 2], [None], [1, None]):
+        d = weight.groups(spark.createDataFrame([("s", "a", 0, 60, g) for g in groups], ddl))
+        with pytest.raises(Exception, match="read group"):
+            weight.weighted(d, policy=RgPolicy.STRICT).collect()
+    d = weight.groups(spark.createDataFrame([("s", "a", 1, 60, 2), ("s", "a", 1, 60, 2)], ddl))
+    assert [r["contrib"] for r in weight.weighted(d, policy=RgPolicy.STRICT).collect()] == [0.5, 0.5]
