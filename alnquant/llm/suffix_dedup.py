@@ -1,9 +1,9 @@
 """Exact substring dedup over sharded suffix arrays (operator 1).
 
 A byte goes if it lies in a SPAN-byte string that also starts in a document with a smaller doc_id.  Every string of SPAN
-bytes has one minimizer: the K-byte gram in it whose hash is least.  Equal strings have equal minimizers, so the strings
+bytes has one minimizer: the gram of GRAM bytes or more in it whose hash is least.  Equal strings have equal minimizers, so the strings
 of one minimizer are a shard of their own, and a maximal run of strings with the same minimizer occurrence is carried as
-one segment of at most SPAN + SPAN - K bytes.
+one segment of at most SPAN + STRINGS - 1 bytes.
 
 1. Blocks of documents are written once.  Each sends the minimizer hashes of its documents, by hash range; the receivers
    answer with a bit for each hash that more than one document has.
@@ -26,12 +26,20 @@ from . import common as C
 from .induce import suffix_array
 
 U64 = np.uint64
-K = 20
+GRAM = 20
+STRINGS = 32  # strings of a segment, a bit each
 SHARD = 1 << 18  # bytes of segments that are sorted together; a minimizer with more has a shard of its own
 BLOCK = 1 << 20  # bytes of text in a block (one longer document is a block of its own)
 NEVER = np.iinfo(np.int64).min
 
 
+def gram(span: int) -> int:
+    """Bytes of a minimizer's gram: so many that at most STRINGS strings of a document can share one."""
+    if span < 1:
+        raise ValueError("a span has a byte at least")
+    return max(min(GRAM, span), span - STRINGS + 1)
+
+
 def _gram_hash(buf: np.ndarray, k: int) -> np.ndarray:
     pw, inv = C.powers(len(buf) + 1)
     c = np.zeros(len(buf) + 1, U64)
@@ -50,12 +58,13 @@ class Segments:
         if len(buf) < span:
             self.hash = z.view(U64)
             return
-        g = _gram_hash(buf, K)
+        k = gram(span)
+        g = _gram_hash(buf, k)
         low = np.uint64((1 << 28) - 1)
         if len(buf) > int(low):
             raise ValueError("a block holds at most 256 MB of text")
         place = low - np.arange(len(g), dtype=U64)  # of equal hashes the rightmost wins
-        least = C.sliding_min((g & ~low) | place, span - K + 1)
+        least = C.sliding_min((g & ~low) | place, span - k + 1)
         at = (low - (least & low)).astype(np.int64)  # minimizer of the string from each position
         doc = np.repeat(np.arange(len(n)), n)[: len(at)]
         inside = np.arange(len(at)) + span <= offs[1:][doc]
@@ -296,7 +305,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, text_out: bool = False) -> D
                 least = np.repeat(np.minimum.reduceat(d, i), size)
                 word = np.where(d > least, U64(0xFFFFFFFF), np.repeat(word, size))
                 first, m = s.first[o], s.last[o] - s.first[o] + 1
-                for j in range(span - K + 1):
+                for j in range(span - gram(span) + 1):
                     hit = first[(m > j) & (word >> U64(j) & U64(1) == 1)] + j
                     np.add.at(gone, hit, 1)
                     np.add.at(gone, hit + span, -1)

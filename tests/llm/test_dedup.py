@@ -59,6 +59,13 @@ def test_substring_dedup(spark, seed):
     assert sorted(tuple(r) for r in got) == brute_cut(docs, 50)
 
 
+@pytest.mark.parametrize("span", [3, 20, 52, 100])
+def test_substring_dedup_of_any_span(spark, span):
+    docs = [(d, t) for d, t in corpus(5, 30) if d != 33]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(df, span).collect()) == sorted(tuple(x) for x in brute_cut(docs, span))
+
+
 def test_substring_dedup_text_null_ids_and_empty(spark):
     p = "é" * 40 + "0123456789" * 6
     df = spark.createDataFrame([(1, p, "a"), (2, "ab" + p + "cd", "b"), (None, p, "c"), (None, None, None)], "doc_id long, text string, lang string")
