@@ -12,7 +12,8 @@ whole sets.
 
 Equal sets are one class from the start.  Within a key, members are compared with one of them (a hub) first; components are
 formed, and only members that are still apart are compared further, in rounds, until none is left untested: no link
-between components is lost, and large groups of near copies never become all their pairs.
+between components is lost, and large groups of near copies never become all their pairs.  Keys whose members are all in one
+component are done; large ones are split over tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ EDGES = np.unique(np.ceil(STEP ** np.arange(0, 90)).astype(np.int64))
 SKETCH = 1024
 STRONG = 3
 NEAREST = 8  # partners tried for each member in the second round; the last round tries all that are left
+BLOCK, SLICE = 2048, 16384  # probes and members of one key that one group compares
+ROWS = 1000  # texts that go to Python at a time; a step then cuts them by bytes
 SMALL = 1 << 20  # rows of (class, doc_id) that are broadcast at most: 16 MB
 
 
@@ -108,9 +111,10 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, also: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(c) for c in also), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([sketch_of(x) if len(x) > 1 else None for x in sets], pa.binary())], ["doc_id", *also, "n_shingles", "cls", "sketch"])
 
     schema = StructType([*whole.drop("text").schema, *StructType.fromDDL("n_shingles long, cls long, sketch binary")])
-    signed = C.save(whole.mapInArrow(sign, schema), "op9-classes")
+    with C.batches_of(spark, ROWS):
+        signed = C.save(whole.mapInArrow(sign, schema), "op9-classes")
     total = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    parts = C.parts_for(4 * total, spark, 16 << 20)
+    parts = C.parts_for(4 * total, spark, 4 << 20)
 
     def keys(batches):
         kept, seen, have = [], set(), 0
@@ -134,7 +138,7 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, also: tuple[str, ...]
                 if len(y):
                     kept.append((y, c))
                     have += len(y)
-            if have > 1 << 20:
+            if have > 1 << 19:
                 yield flush()
                 kept, seen, have = [], set(), 0
         if kept:
@@ -173,7 +177,8 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, also: tuple[str, ...]
         kind = np.concatenate([np.zeros(len(pair), bool), np.ones(int(more.sum()), bool)])
         return pa.table({"more": pa.array(kind), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    met = C.save(docs.mapInArrow(keys, "part int, keys binary, cls binary").groupBy("part").applyInArrow(meet, "more boolean, a long, b long"), "op9-keys")
+    with C.batches_of(spark, ROWS):
+        met = C.save(docs.mapInArrow(keys, "part int, keys binary, cls binary").groupBy("part").applyInArrow(meet, "more boolean, a long, b long"), "op9-keys")
     runs = met.where("more").select(F.col("a").alias("key"), F.col("b").alias("cls"))
     pairs = met.where("not more").select("a", "b").distinct()
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
@@ -202,7 +207,8 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, also: tuple[str, ...]
         few = rep.count() <= SMALL
         found = docs.where("doc_id is not null").join(F.broadcast(rep) if few else rep, "doc_id").select("cls", "text")
         found = found.mapInArrow(texts, "cls long, text string").dropDuplicates(["cls"])
-        return C.save(found if nameless is None else found.unionByName(nameless), "op9-texts")
+        with C.batches_of(spark, ROWS):
+            return C.save(found if nameless is None else found.unionByName(nameless), "op9-texts")
 
     def possible(batches):
         for b in batches:
@@ -231,7 +237,8 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, also: tuple[str, ...]
         near = C.save(p.join(right, "b").where("nb is not null").join(left, "a").mapInArrow(possible, "a long, b long"), "op9-near")
         full = texts_of(near)
         ta, tb = (full.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        out = C.save(near.join(tb, "b").join(ta, "a").mapInArrow(verify, "a long, b long"), "op9-links")
+        with C.batches_of(spark, ROWS):
+            out = C.save(near.join(tb, "b").join(ta, "a").mapInArrow(verify, "a long, b long"), "op9-links")
         C.drop(near, full)
         return out
 
@@ -240,8 +247,9 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, also: tuple[str, ...]
     keys_left, tested = None, pairs
     for every in (False, True):
         rows = runs if keys_left is None else runs.join(keys_left, "key")
-        rows = rows.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(sketches, "cls")
-        crossed = C.save(rows.groupBy("key").applyInArrow(_crossing(num, every), "a long, b long, cut boolean"), "op9-crossed")
+        named = C.save(rows.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "op9-members")
+        crossed = C.save(dealt(named, sketches).groupBy("key", "block", "slice").applyInArrow(_crossing(num, every), "a long, b long, cut boolean"), "op9-crossed")
+        C.drop(named)
         new = C.save(crossed.where("not cut").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "op9-pairs")
         # keys of which a member had more possible partners than were named
         keys_left = C.save(crossed.where("cut").select(F.col("a").alias("key")).distinct(), "op9-left")
@@ -263,33 +271,56 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, also: tuple[str, ...]
     return out
 
 
+def dealt(members: DataFrame, sketches: DataFrame, block: int = BLOCK, part: int = SLICE) -> DataFrame:
+    """Rows of ``members(key, cls, label)`` of the keys whose members are still apart, with their sketches, dealt to tasks.
+
+    A key's members outside its most frequent component (the probes) are compared with all members of other components.
+    Keys in one component are left out.  Large keys are split into blocks of probes and slices of members, so that a group
+    (key, block, slice) has about ``block`` probes and ``part`` members however many the key has; other keys are one group.
+    A row is a probe, a member (``other``), or both.
+    """
+    sums = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+    keys = sums.agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("big")).where("m > big.c")
+    keys = keys.select("key", F.col("big.label").alias("big"), F.expr(f"cast(ceil((m - big.c) / {block}) as int)").alias("blocks"), F.expr(f"cast(ceil(m / {part}) as int)").alias("slices"))
+    keys = C.save(keys, "op9-apart")  # few: where their size allows, they are broadcast, and members stay where they are
+    place = "label <> big as probes", "pmod(xxhash64(cls, 1), blocks) as ob", "pmod(xxhash64(cls, 2), slices) as os"
+    rows = members.join(keys, "key").selectExpr("key", "cls", "label", "blocks", "slices", *place)
+    # in every block as a member, and in every slice as a probe
+    member = "transform(sequence(0, blocks - 1), x -> struct(x as block, cast(os as int) as slice, probes and x = ob as probe, true as other))"
+    probe = "transform(filter(sequence(0, slices - 1), y -> probes and y <> os), y -> struct(cast(ob as int) as block, y as slice, true as probe, false as other))"
+    return rows.join(sketches, "cls").selectExpr("key", "cls", "label", "n", "sketch", f"inline(concat({member}, {probe}))")
+
+
 def _crossing(num: int, every: bool):
-    return lambda t: _cross(t, num, every)
+    def cross(t: pa.Table) -> pa.Table:
+        C.serve()
+        return _cross(t, num, every)
+
+    return cross
 
 
 def _cross(t: pa.Table, num: int, every: bool) -> pa.Table:
-    """Pairs of one key's members in different components that the sketches don't rule out; for each member the nearest
+    """Pairs of a probe and a member in different components that the sketches don't rule out; for each probe the nearest
     ones, or every one.  Where there were more, a last row has the key and ``cut``."""
-    cls, label, n = (t.column(c).to_numpy() for c in ("cls", "label", "n"))
-    o = np.argsort(n, kind="stable")
-    cls, label, n = cls[o], label[o], n[o]
-    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(-1, SKETCH // 64)[o]
-    names, count = np.unique(label, return_counts=True)
-    big = names[np.argmax(count)]
+    cls, label, n, probe, other = (t.column(c).to_numpy() for c in ("cls", "label", "n", "probe", "other"))
+    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(-1, SKETCH // 64)
+    # members are in the order of their sizes, so those of a possible size stand together
+    at = np.flatnonzero(other)
+    at = at[np.argsort(n[at], kind="stable")]
+    size, others, of = n[at], cls[at], label[at]
     a, b, cut = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
-    for i in np.flatnonzero(label != big).tolist():
-        # members are in the order of their sizes, so those of a possible size stand together
-        lo, hi = np.searchsorted(n, [-(-num * n[i] // 100), 100 * n[i] // num + 1])
-        j = lo + np.flatnonzero(label[lo:hi] != label[i])
+    for i in np.flatnonzero(probe).tolist():
+        lo, hi = np.searchsorted(size, [-(-num * n[i] // 100), 100 * n[i] // num + 1])
+        j = lo + np.flatnonzero(of[lo:hi] != label[i])
         if not len(j):
             continue
-        far = np.bitwise_count(sk[j] ^ sk[i]).sum(1)
-        ok = far <= (100 - num) * (n[j] + n[i]) // (100 + num)
+        far = np.bitwise_count(sk[at[j]] ^ sk[i]).sum(1)
+        ok = far <= (100 - num) * (size[j] + n[i]) // (100 + num)
         j, far = j[ok], far[ok]
         if not every and len(j) > NEAREST:
-            j, cut = j[np.lexsort((cls[j], far))[:NEAREST]], True
-        a.append(np.minimum(cls[j], cls[i]))
-        b.append(np.maximum(cls[j], cls[i]))
+            j, cut = j[np.lexsort((others[j], far))[:NEAREST]], True
+        a.append(np.minimum(others[j], cls[i]))
+        b.append(np.maximum(others[j], cls[i]))
     p = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
     p = np.concatenate([p, [[t.column("key")[0].as_py(), 0]]]) if cut else p
     flag = np.zeros(len(p), bool)

@@ -146,3 +146,21 @@ def test_keys_of_linked_sets_meet(num):
             both = len(np.intersect1d(a, b))
             if 100 * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
                 assert len(np.intersect1d(parity.cell_keys(a, num), parity.cell_keys(b, num)))
+
+
+def test_large_keys_are_split(spark):
+    """Each probe meets each member of another component in one group, whatever the blocks and slices."""
+    rng = np.random.default_rng(5)
+    members = [(7, i, int(rng.choice([100, 100, 100, 200, i]))) for i in range(300)] + [(8, i, 100) for i in range(50)] + [(9, 1, 1), (9, 2, 2)]
+    sk = [(i, 10, bytes(rng.integers(0, 256, 128, dtype=np.uint8))) for i in range(300)]
+    m, s = spark.createDataFrame(members, "key long, cls long, label long"), spark.createDataFrame(sk, "cls long, n long, sketch binary")
+    label = {c: x for k, c, x in members if k == 7}
+    want = {(a, b) for a in label for b in label if a < b and label[a] != label[b]}
+    for block, part in ((1000, 1000), (40, 1000), (1000, 70), (32, 50)):
+        groups = {}
+        for r in parity.dealt(m, s, block, part).collect():
+            groups.setdefault((r["key"], r["block"], r["slice"]), []).append(r)
+        assert not any(k == 8 for k, _, _ in groups) and len(groups[9, 0, 0]) == 2
+        met = [(p["cls"], o["cls"]) for (k, _, _), g in groups.items() if k == 7 for p in g if p["probe"] for o in g if o["other"] and o["label"] != p["label"]]
+        assert len(met) == len(set(met)) and {(min(x), max(x)) for x in met} == want
+        assert max(sum(r["probe"] for r in g) for g in groups.values()) <= 2 * block
