@@ -80,6 +80,25 @@ def doc_key() -> F.Column:
     return F.col("doc_id")
 
 
+# ---------------------------------------------------------------- what a worker keeps between tasks
+
+HELD: dict[str, object] = {}  # by operator: a function that frees what its tasks leave for the next ones
+_holder = ""
+
+
+def serve(operator: str = "") -> None:
+    """Python workers outlive their tasks: when one turns to another operator, what the ones before left there goes."""
+    global _holder, _POW, _INV
+    if operator == _holder:
+        return
+    for name, free in HELD.items():
+        if name != operator:
+            free()
+    _POW, _INV = np.ones(1, U64), np.ones(1, U64)
+    _holder = operator
+    pa.default_memory_pool().release_unused()
+
+
 # ---------------------------------------------------------------- Arrow text as numpy
 
 
@@ -96,8 +115,9 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, o - o[0]
 
 
-def pieces(batches, column: str = "text", size: int = CHUNK):
+def pieces(batches, column: str = "text", size: int = CHUNK, operator: str = ""):
     """Record batches cut at row boundaries so that each has about ``size`` bytes of text (one longer row stands alone)."""
+    serve(operator)
     for b in batches:
         if not b.num_rows:
             continue
@@ -213,6 +233,7 @@ def release(spark: SparkSession) -> None:
 
 def rows_of(batches):
     """Rows of record batches as dictionaries, one at a time."""
+    serve()
     for b in batches:
         for i in range(b.num_rows):
             yield b.slice(i, 1).to_pylist()[0]

@@ -221,6 +221,8 @@ def load(path: str) -> Transducer:
         return Transducer(f.read())
 
 
+C.HELD["wfst"] = load.cache_clear
+
 OUTPUTS = "n_ids long, n_fallback long, ids_crc32 long, round_trip boolean, ids array<int>, decoded string"
 
 
@@ -238,8 +240,9 @@ def transduce(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids",),
     source = docs.select(*dict.fromkeys([*carried, "text"]))
 
     def run(batches):
+        C.serve("wfst")
         t = load(model)
-        for b in C.pieces(batches, "text", 4 << 20):
+        for b in C.pieces(batches, "text", 4 << 20, "wfst"):
             ids, lens, norm = t.encode(b.column("text"))
             cut = np.concatenate([[0], np.cumsum(lens)])
             made = {"n_ids": lambda: pa.array(lens, pa.int64())}

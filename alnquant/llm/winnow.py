@@ -119,6 +119,7 @@ class Index:
 
 
 _INDEX: dict = {}
+C.HELD["winnow"] = _INDEX.clear
 MINE = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 STATE = "__runs array<long>, __items array<string>"
 
@@ -164,7 +165,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) ->
 
     def meet(key, block, known: bool, last: bool):
         def judge(batches):
-            for b in C.pieces(batches):
+            for b in C.pieces(batches, operator="winnow"):
                 ix = _index(key, block)
                 buf, offs = C.text_buffer(b.column("text"))
                 _, _, h, first = C.words(buf, offs, C.ALNUM_WORD)

@@ -320,3 +320,17 @@ def test_words_do_not_cross_rows():
     buf, offs = common.text_buffer(pa.array(["ab", None, "", "Ab c"]).slice(0))
     s, e, h, first = common.words(buf, offs, common.SPACE_WORD)
     assert first.tolist() == [0, 1, 1, 1, 3] and h[0] == h[1] and h[0] != h[2]
+
+
+def test_workers_free_what_other_operators_left():
+    freed, batch = [], pa.RecordBatch.from_pydict({"text": ["a b", None, "c"]})
+    before = dict(common.HELD)
+    try:
+        common.HELD.update(one=lambda: freed.append("one"), two=lambda: freed.append("two"))
+        for operator in ("one", "one", "", "two", "two"):
+            assert sum(b.num_rows for b in common.pieces([batch], operator=operator)) == 3
+        assert freed == ["two", "one", "two", "one"]
+    finally:
+        common.HELD.clear()
+        common.HELD.update(before)
+        common.serve()
