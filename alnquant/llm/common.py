@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-CHUNK = 2 << 20  # bytes of text that one vectorised step handles at a time
+CHUNK = 1 << 20  # bytes of text that one vectorised step handles at a time
 
 
 # ---------------------------------------------------------------- shared tables

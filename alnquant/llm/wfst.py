@@ -242,7 +242,7 @@ def transduce(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids",),
     def run(batches):
         C.serve("wfst")
         t = load(model)
-        for b in C.pieces(batches, "text", 4 << 20, "wfst"):
+        for b in C.pieces(batches, "text", 1 << 20, "wfst"):
             ids, lens, norm = t.encode(b.column("text"))
             cut = np.concatenate([[0], np.cumsum(lens)])
             made = {"n_ids": lambda: pa.array(lens, pa.int64())}
