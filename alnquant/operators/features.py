@@ -26,8 +26,9 @@ def factor(raw: str, norm: str) -> Column:
 
 def annotate(counts: DataFrame, annotations: DataFrame, on: list[str]) -> DataFrame:
     """Counts of each region or reference beside each category that it has, and the features in it.  The counts are
-    aggregated before this join, so it carries one row for each region, however deep the sequencing."""
-    return counts.join(annotations, on)
+    aggregated before this join, so it carries one row for each region, however deep the sequencing.  Annotations grow with
+    the references and unfold from small files, so they are never broadcast, whatever size the optimizer expects."""
+    return counts.join(annotations.hint("merge"), on)
 
 
 def beside(rows: DataFrame, one: DataFrame) -> DataFrame:

@@ -178,3 +178,9 @@ def test_config():
     assert "@RG\\tID:2\\tSM:sample" in aligner_command("bwa", "ref", "orphan", ("c",))
     with pytest.raises(ValueError):
         bind_reads(("a", "b"), ("c",))
+
+
+def test_annotations_are_not_broadcast(spark):
+    a = features.annotate(profile.gene_counts(frame(spark, MICRO)), annotations(spark), ["rid"])
+    plan = features.feature_counts(a, Scaling.PER_FEATURE)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [rid" in plan and "BroadcastHashJoin [rid" not in plan
