@@ -148,7 +148,7 @@ query(
 def _category_rows(s, d):
     g = _genes(s, d)
     ann = proxy.annotations(s, d)
-    return features.category_rows(features.annotate(g, ann, ["rid"]), g.join(ann.select("rid").distinct(), "rid", "left_semi"), True)
+    return features.category_rows(features.annotate(g, ann, ["rid"]), features.annotated(g, ann, ["rid"]), True)
 
 
 query("header_rows", O.q([O.ALN, O.STATUS, _STATS], "select category, feature, cast(n as double) as uniq_raw from (select unnest(['brand', 'token', 'type']) as category), (select 'total_reads' as feature, aligned_reads as n from rs union all select 'filtered_reads', filtered_reads from rs)"))(

@@ -65,7 +65,7 @@ def stats_table(stats: DataFrame) -> DataFrame:
 
 def on_target(aln: DataFrame, regions: DataFrame, ref: str = "rid", seqid: str = "seqid") -> DataFrame:
     """Alignments to references that have any annotation."""
-    return aln.join(regions.select(F.col(seqid).alias(ref)).distinct(), ref, "left_semi")
+    return aln.join(regions.select(F.col(seqid).alias(ref)).distinct().hint("merge"), ref, "left_semi")
 
 
 def run_ids(rows: DataFrame, key: str, order: list[str], by: list[str] | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def metrics(runs: DataFrame, exact: bool = False) -> DataFrame:
 
 def by_feature(metric: DataFrame, annotations: DataFrame, exact: bool = False) -> DataFrame:
     """Mean covered share and summed depth of each feature's regions."""
-    rows = metric.join(annotations, REGION).withColumn("feature", F.explode("features"))
+    rows = metric.join(annotations.hint("merge"), REGION).withColumn("feature", F.explode("features"))
     aggs = []
     for p in ("uniq", "combined"):
         aggs.append((sums.total(F.col(f"{p}_horizontal"), exact, norm=True) / F.count("*")).alias(f"{p}_horizontal"))

@@ -24,6 +24,11 @@ def factor(raw: str, norm: str) -> Column:
     return F.coalesce(F.try_divide(F.col(raw), F.col(norm)), F.lit(0.0))
 
 
+def annotated(counts: DataFrame, annotations: DataFrame, on: list[str]) -> DataFrame:
+    """Counts of the regions or references that have any annotation, each once."""
+    return counts.join(annotations.select(*on).distinct().hint("merge"), on, "left_semi")
+
+
 def annotate(counts: DataFrame, annotations: DataFrame, on: list[str]) -> DataFrame:
     """Counts of each region or reference beside each category that it has, and the features in it.  The counts are
     aggregated before this join, so it carries one row for each region, however deep the sequencing.  Annotations grow with
@@ -108,5 +113,5 @@ def gene_group_counts(counts: DataFrame, ref: str, groups: DataFrame) -> tuple[D
 
 def unannotated(counts: DataFrame, annotations: DataFrame, on: str, exact: bool = False) -> DataFrame:
     """Counts of what has no annotation at all."""
-    rest = counts.join(annotations.select(on).distinct(), on, "left_anti")
+    rest = counts.join(annotations.select(on).distinct().hint("merge"), on, "left_anti")
     return rest.agg(*[F.coalesce(sums.total(F.col(f"{p}_raw"), exact), F.lit(0.0)).alias(f"{p}_raw") for p in PAIR])

@@ -28,6 +28,11 @@ def bounds(rule: Overlap) -> tuple[Column, Column, Column, Column]:
     return qs, qe - 1, s, e  # half-open query against the closed region as it stands
 
 
+def sized(dimension: DataFrame) -> DataFrame:
+    """A frame to join with, by broadcast if it has few rows (counted, not guessed from its files), else by sort and merge."""
+    return F.broadcast(dimension) if dimension.count() <= BROADCAST_ROWS else dimension.hint("merge")
+
+
 def overlap(aln: DataFrame, regions: DataFrame, rule: Overlap = Overlap.SMALL_GENOME, ref: str = "rid", seqid: str = "seqid", bin_size: int | None = None, clip: bool = True) -> DataFrame:
     """All (alignment, region) pairs that hit, with the covered part.  ``regions`` has start_pos, end_pos; without
     ``bin_size`` the plan is chosen by the number of regions."""

@@ -68,7 +68,7 @@ def count_report(counted: DataFrame, annotations: DataFrame, cfg: ProfileConfig,
     feats = features.feature_counts(ann, cfg.scaling, cfg.exact_sums)
     if cfg.report_unseen:
         feats = features.with_unseen(feats, annotations.select("category", F.explode("features").alias("feature")))
-    keyed = cached.join(annotations.select(*on).distinct(), on, "left_semi")
+    keyed = features.annotated(cached, annotations, on)
     cats = features.category_rows(ann, keyed, cfg.exact_sums)
     metrics = [c for c in feats.columns if c not in ("category", "feature")]
     rows = [

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import overlap
+
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -25,7 +27,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         + F.when(F.col("l_suppkey") % 50 == 7, 2048).otherwise(0)
     )
     alen = F.expr("cast(40 + l_quantity as int)")
-    li = li.join(part, li.l_partkey == part.p_partkey)
+    li = li.join(overlap.sized(part), li.l_partkey == part.p_partkey)
     li = li.withColumns({"reflength": (F.lit(200) + 20 * F.col("p_size")).cast("int"), "alen": alen})
     return li.select(
         F.lit(0).alias("stream_id"),

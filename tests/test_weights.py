@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from alnquant import proxy
 from alnquant.config import AmbigMode, Overlap, ProfileConfig, RgPolicy, RunMode, Scaling
 from alnquant.operators import align, counts, coverage, features, overlap, weight
 from alnquant.plans import profile
@@ -184,3 +185,21 @@ def test_annotations_are_not_broadcast(spark):
     a = features.annotate(profile.gene_counts(frame(spark, MICRO)), annotations(spark), ["rid"])
     plan = features.feature_counts(a, Scaling.PER_FEATURE)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [rid" in plan and "BroadcastHashJoin [rid" not in plan
+
+
+def test_references_are_broadcast_only_if_few(spark, tmp_path):
+    spark.range(300_000).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    row = "0L as l_orderkey, 1 as l_linenumber, {} as l_partkey, 0L as l_suppkey, 1d as l_extendedprice, 10d as l_quantity, 0d as l_discount, 'N' as l_returnflag, timestamp '1995-01-01' as l_shipdate"
+    spark.range(1).selectExpr(*row.format("299999L").split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    aln = proxy.alignments(spark, str(tmp_path))
+    ann = spark.createDataFrame([(299999, "A", ["f"])], "rid long, category string, features array<string>")
+    got = features.restrict(features.feature_counts(features.annotate(profile.gene_counts(aln), ann, ["rid"])), ("raw",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [l_partkey" in plan and "BroadcastHashJoin [l_partkey" not in plan
+    assert [tuple(r) for r in got.collect()] == [("A", "f", 1.0, 1.0)]
+
+
+def test_keys_of_annotations_are_not_broadcast(spark):
+    g, ann = profile.gene_counts(frame(spark, MICRO)), annotations(spark)
+    for d in (features.annotated(g, ann, ["rid"]), features.unannotated(g, ann, "rid"), align.on_target(frame(spark, MICRO), ann, seqid="rid")):
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
