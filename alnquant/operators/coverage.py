@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sums
 
 REGION = ["rid", "start_pos", "end_pos"]
+TILE = 1 << 16
 
 
 def segments(hits: DataFrame, exact: bool = False) -> DataFrame:
@@ -16,9 +17,26 @@ def segments(hits: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def depth_per_base(seg: DataFrame, exact: bool = False) -> DataFrame:
-    """Depth of each covered base, by spreading the segments; for small regions."""
-    base = seg.withColumn("base", F.explode(F.sequence("cov_start", "cov_end")))
-    return base.groupBy(*REGION, "ambiguous", "base").agg(sums.total(F.col("weight"), exact).alias("depth"))
+    """Depth of each covered base.  What is shuffled are segments, cut at every TILE bases so that a long region is no
+    single task's; their ends are swept, unique and ambiguous ones apart, and only the runs of equal depth that come out of
+    the sweep are spread to bases."""
+    keys = [*REGION, "ambiguous", "tile"]
+    tile = F.explode(F.sequence(F.floor(F.col("cov_start") / TILE), F.floor(F.col("cov_end") / TILE)))
+    seg = seg.where("cov_end >= cov_start").withColumn("tile", tile).repartition(*keys)
+    low = (F.col("tile") * TILE).cast(seg.schema["cov_start"].dataType)
+    seg = seg.withColumns({"cov_start": F.greatest("cov_start", low), "cov_end": F.least("cov_end", low + TILE - 1)})
+    unit = F.round(F.col("weight") * float(sums.UNITS)).cast("bigint") if exact else F.col("weight")
+    known = F.when(unit.isNotNull(), 1).otherwise(0)
+    ends = F.array(
+        F.struct(F.col("cov_start").alias("at"), unit.alias("u"), known.alias("k"), F.lit(1).alias("n")),
+        F.struct((F.col("cov_end") + 1).alias("at"), (-unit).alias("u"), (-known).alias("k"), F.lit(-1).alias("n")),
+    )
+    ev = seg.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*")
+    w = Window.partitionBy(*keys).orderBy("at")  # ends at one base have one sum, and a run of no length before the last of them
+    run = ev.select(*keys, F.col("at").alias("run_start"), (F.lead("at").over(w) - F.col("at")).alias("run_len"), *[F.sum(c).over(w).alias(c) for c in ("u", "k", "n")])
+    depth = F.when(F.col("k") > 0, F.col("u") / F.lit(float(sums.UNITS)) if exact else F.col("u"))
+    base = F.explode(F.sequence("run_start", F.col("run_start") + F.col("run_len") - 1)).alias("base")
+    return run.where("n > 0 and run_len > 0").select(*keys, depth.alias("depth"), base).select(*REGION, "ambiguous", "base", "depth")
 
 
 def depth_runs(seg: DataFrame, exact: bool = False) -> DataFrame:

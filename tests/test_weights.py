@@ -203,3 +203,18 @@ def test_keys_of_annotations_are_not_broadcast(spark):
     g, ann = profile.gene_counts(frame(spark, MICRO)), annotations(spark)
     for d in (features.annotated(g, ann, ["rid"]), features.unannotated(g, ann, "rid"), align.on_target(frame(spark, MICRO), ann, seqid="rid")):
         assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_depth_spreads_after_the_last_shuffle(spark, exact):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 3), 1, 150_000, rng.random() < 0.5, s, s + rng.choice([-2, -1, 0, 1, 30, 900]), rng.choice([0.25, 0.5, 1.0])) for s in [rng.choice([1, 65_000, 131_000]) + rng.randint(0, 1000) for _ in range(300)]]
+    want = defaultdict(float)
+    for rid, _, _, amb, a, b, weight_ in rows:
+        for base in range(a, b + 1):
+            want[rid, amb, base] += weight_
+    seg = spark.createDataFrame(rows, "rid int, start_pos int, end_pos int, ambiguous boolean, cov_start int, cov_end int, weight double")
+    got = coverage.depth_per_base(seg, exact)
+    assert {(r["rid"], r["ambiguous"], r["base"]): r["depth"] for r in got.collect()} == want and dict(got.dtypes)["base"] == "int"
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert "sequence(run_start" in above and "Aggregate" not in above
