@@ -208,9 +208,7 @@ query("region_counts", O.q(O.region_steps(), "select rid, start_pos, end_pos, un
 
 
 def _region_hits(s, d):
-    r = proxy.regions(s, d)
-    w = profile.weighted_alignments(proxy.alignments(s, d), REGION, r)
-    return overlap.overlap(w, r, Overlap.SMALL_GENOME)
+    return profile.weighted_alignments(proxy.alignments(s, d), REGION, proxy.regions(s, d))
 
 
 _RSTR = ", ".join(

@@ -33,21 +33,24 @@ def sized(dimension: DataFrame) -> DataFrame:
     return F.broadcast(dimension) if dimension.count() <= BROADCAST_ROWS else dimension.hint("merge")
 
 
-def overlap(aln: DataFrame, regions: DataFrame, rule: Overlap = Overlap.SMALL_GENOME, ref: str = "rid", seqid: str = "seqid", bin_size: int | None = None, clip: bool = True) -> DataFrame:
+def overlap(aln: DataFrame, regions: DataFrame, rule: Overlap = Overlap.SMALL_GENOME, ref: str = "rid", seqid: str = "seqid", bin_size: int | None = None, clip: bool = True, outer: bool = False) -> DataFrame:
     """All (alignment, region) pairs that hit, with the covered part.  ``regions`` has start_pos, end_pos; without
-    ``bin_size`` the plan is chosen by the number of regions."""
+    ``bin_size`` the plan is chosen by the number of regions.  With ``outer`` every alignment also stays: one without a hit
+    as a row with a null start_pos, and one with hits may have such a row beside them."""
+    how = "left" if outer else "inner"
     qa, qb, ra, rb = bounds(rule)
     left = aln.withColumns({"__qa": qa, "__qb": qb})
     right = regions.withColumnsRenamed({seqid: "__seqid"}).withColumns({"__ra": ra, "__rb": rb})
     hit = (F.col("__ra") <= F.col("__qb")) & (F.col("__rb") >= F.col("__qa"))
     if bin_size is None and regions.count() <= BROADCAST_ROWS:
-        out = left.join(F.broadcast(right), (left[ref] == right["__seqid"]) & hit)
+        out = left.join(F.broadcast(right), (left[ref] == right["__seqid"]) & hit, how)
     else:
         size = bin_size or BIN
-        left = left.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__qa") / size), F.floor(F.col("__qb") / size))))
+        spread = F.explode_outer if outer else F.explode
+        left = left.withColumn("__bin", spread(F.sequence(F.floor(F.col("__qa") / size), F.floor(F.col("__qb") / size))))
         right = right.withColumn("__rbin", F.explode(F.sequence(F.floor(F.col("__ra") / size), F.floor(F.col("__rb") / size))))
         first = F.floor(F.greatest(F.col("__qa"), F.col("__ra")) / size)
-        out = left.join(right, (left[ref] == right["__seqid"]) & (F.col("__bin") == F.col("__rbin")) & hit).where(F.col("__bin") == first)
+        out = left.join(right.hint("merge"), (left[ref] == right["__seqid"]) & (F.col("__bin") == F.col("__rbin")) & hit, how).where((F.col("__bin") == first) | F.col("__bin").isNull())
     out = out.drop("__qa", "__qb", "__ra", "__rb", "__bin", "__rbin", "__seqid")
     if clip:
         out = out.withColumns({"cov_start": F.greatest("q_start", "start_pos"), "cov_end": F.least("q_end", "end_pos")})

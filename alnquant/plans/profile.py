@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ProfileConfig, RunMode
@@ -14,17 +14,21 @@ from ..sources import counts as count_tables
 def weighted_alignments(aln: DataFrame, cfg: ProfileConfig = ProfileConfig(), regions: DataFrame | None = None, ref: str = "rid") -> DataFrame:
     """Alignments that pass, are on target, and count in the mode, with their contribution: one shuffle by read.
 
-    In region modes ``hits`` lists the regions that each alignment overlaps (null: none), from one interval join."""
+    In region modes there is a row for each region that an alignment overlaps, with the region's columns and the covered part,
+    from one interval join.  Its rows go on to the shuffle by read as they are; alignments are told apart there, by their
+    order within the read, so none is joined to its hits and no lists of hits are kept in memory."""
     rows = align.passed(align.derive(aln), cfg.min_seqlen, cfg.min_identity)
     hit = None
     if cfg.mode.overlap_required:
         rows = align.on_target(rows, regions, ref)
-        pairs = overlap.overlap(rows.select("aln_id", ref, "q_start", "q_end"), regions, cfg.overlap_rule, ref, clip=False)
-        hits = pairs.groupBy("aln_id").agg(F.collect_list(F.struct("start_pos", "end_pos")).alias("hits"))
-        rows = rows.join(hits, "aln_id", "left")
-        hit = F.col("hits").isNotNull()
+        rows = overlap.overlap(rows, regions, cfg.overlap_rule, ref, outer=True)
+        missed = F.col("start_pos").isNull()
+        last = F.lag("aln_id").over(Window.partitionBy("stream_id", "qname").orderBy("aln_id", missed))
+        rows = rows.withColumn("__hit", ~missed & (last.isNull() | (last != F.col("aln_id"))))  # the first hit of each alignment
+        hit = F.col("__hit")
     g = weight.groups(rows, hit, cfg.ambiguous_by)
-    return weight.weighted(g, cfg.ambiguity, cfg.paired_end_count, cfg.unmarked_orphans, cfg.rg_policy)
+    out = weight.weighted(g, cfg.ambiguity, cfg.paired_end_count, cfg.unmarked_orphans, cfg.rg_policy)
+    return out if hit is None else out.where("start_pos is not null").drop("__hit")
 
 
 def gene_counts(aln: DataFrame, cfg: ProfileConfig = ProfileConfig()) -> DataFrame:
@@ -37,8 +41,7 @@ def gene_counts(aln: DataFrame, cfg: ProfileConfig = ProfileConfig()) -> DataFra
 def region_counts(aln: DataFrame, regions: DataFrame, cfg: ProfileConfig) -> DataFrame:
     """Counts of each region; intervals that occur several times are hit once."""
     spans = regions.select("seqid", "start_pos", "end_pos").distinct()
-    w = weighted_alignments(aln, cfg, spans)
-    hits = w.select("rid", "contrib", "ambiguous", F.inline("hits"))
+    hits = weighted_alignments(aln, cfg, spans)
     return counts.normalise(counts.region_counts(hits, cfg.exact_sums), counts.region_length())
 
 

@@ -218,3 +218,18 @@ def test_depth_spreads_after_the_last_shuffle(spark, exact):
     assert {(r["rid"], r["ambiguous"], r["base"]): r["depth"] for r in got.collect()} == want and dict(got.dtypes)["base"] == "int"
     above = got._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
     assert "sequence(run_start" in above and "Aggregate" not in above
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_region_hits_without_lists(spark, few, monkeypatch):
+    monkeypatch.setattr(overlap, "BROADCAST_ROWS", 1000 if few else 0)
+    # a read whose first alignment hits three regions (one in its later bins only), one that misses, and one without an interval
+    rows = [(0, 1, "a", 1, 0, 1, 900, 300, 0, 100, 60), (0, 2, "a", 1, 256, 1, 900, 50, 0, 800, 60), (0, 3, "a", 1, 256, 2, 900, 50, 0, 10, 60), (0, 4, "b", 1, 256, 1, 900, 50, 0, None, 60), (0, 5, "b", 1, 0, 2, 900, 50, 0, 10, 60)]
+    aln = spark.createDataFrame(rows, "stream_id int, aln_id long, qname string, rg int, flag int, rid int, reflength int, alen int, nm int, pos int, mapq int")
+    reg = spark.createDataFrame([(1, 380, 390), (1, 110, 120), (1, 350, 500), (2, 1, 100), (2, 1, 100)], "seqid int, start_pos int, end_pos int")
+    cfg = ProfileConfig(mode=RunMode.SMALL_GENOME)
+    got = profile.region_counts(aln, reg, cfg)
+    assert {(r["rid"], r["start_pos"]): (r["uniq_raw"], r["combined_raw"]) for r in got.collect()} == {(1, 380): (0, 0.5), (1, 110): (0, 0.5), (1, 350): (0, 0.5), (2, 1): (0, 1.5)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "[aln_id" not in "".join(x for x in plan.split("\n") if "Join" in x)
+    assert few or "BroadcastHashJoin" not in plan
