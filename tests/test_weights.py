@@ -233,3 +233,14 @@ def test_region_hits_without_lists(spark, few, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "[aln_id" not in "".join(x for x in plan.split("\n") if "Join" in x)
     assert few or "BroadcastHashJoin" not in plan
+
+
+def test_region_features_without_lists_and_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BROADCAST_ROWS", 0)
+    aln = frame(spark, MICRO).withColumn("pos", F.lit(10))
+    reg = spark.createDataFrame([(1, 5, 20), (1, 30, 70), (2, 30, 70)], "seqid int, start_pos int, end_pos int")
+    ann = reg.select(F.col("seqid").alias("rid"), "start_pos", "end_pos", F.lit("A").alias("category"), F.array(F.concat(F.lit("f"), F.col("seqid"))).alias("features"))
+    got = profile.feature_profile(aln, ann, ProfileConfig(mode=RunMode.SMALL_GENOME), reg)
+    assert {r["feature"]: r["combined_raw"] for r in got.collect()} == {"f1": 5.0, "f2": 1.5}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "BroadcastHashJoin [rid" not in plan
